@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, sharding, simhash, substrings
+from . import lm_scoring, packing, quality_rules, sharding, simhash, substrings
 from .common import read
 
 
@@ -36,5 +36,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op5_sharding": op5_sharding, "op7_substrings": op7_substrings, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op5_sharding": op5_sharding, "op7_substrings": op7_substrings, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_lm_scoring": op10_lm_scoring}
 ORACLES: dict[str, str] = {}
