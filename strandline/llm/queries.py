@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_scoring, packing, quality_rules, sharding, simhash, substrings, topk
+from . import lm_scoring, packing, preference, quality_rules, sentencepieces, sharding, simhash, substrings, topk
 from .common import read
 
 
@@ -15,6 +15,18 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), k=10, every=100).withColumnRenamed("id", "vec_id")
 
 
+def op2_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
+def op3_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    out = sentencepieces.decode(sentencepieces.encode(read(spark, sf_dir, "documents"), path), path)
+    return out.select(F.col("id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_ids"), "ids", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), F.octet_length("decoded").cast("bigint").alias("decoded_bytes"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -44,7 +56,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_topk": op1_topk, "op4_simhash": op4_simhash, "op5_sharding": op5_sharding, "op7_substrings": op7_substrings, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_lm_scoring": op10_lm_scoring}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_topk": op1_topk, "op2_preference": op2_preference, "op3_sentencepieces": op3_sentencepieces, "op4_simhash": op4_simhash, "op5_sharding": op5_sharding, "op7_substrings": op7_substrings, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_lm_scoring": op10_lm_scoring}
 ORACLES: dict[str, str] = {
     "op1_topk": """
         WITH v AS (
