@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from .common import arrow_map, bytes_of, column, store
 
 WINDOW = 50
-GRAM = 8
+GRAM = 32
 DEPTH = 2
-#: Cells of a sketch row: a power of two from CELLS_PER_WORD times the words (8 per minimizer), within bounds.
-CELLS_PER_WORD, MIN_CELLS, MAX_CELLS = 0.4, 1 << 20, 1 << 29
+#: Cells of a sketch row: a power of two from CELLS_PER_WORD times the words (some 8 per minimizer), within bounds.
+CELLS_PER_WORD, MIN_CELLS, MAX_CELLS = 0.6, 1 << 20, 1 << 29
 #: Cells that are merged at once.
 BLOCK = 1 << 20
 #: Fixed odd multipliers of the rolling hashes.
@@ -188,7 +188,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
 
     base = store(arrow_map(hashed, facts, f"id {kind}, text_1 bigint, text_2 bigint, n_words bigint, sha string"), "substring-base")
     first = store(base.where(F.col("id").isNotNull() & (F.col("n_words") >= window)).groupBy("text_1", "text_2").agg(F.min("id").alias("id")), "substring-first")
-    texts = store(hashed.join(first.hint("shuffle_hash"), ["id", "text_1", "text_2"], "left_semi"), "substring-texts")
+    texts = store(hashed.join(first.hint("shuffle_hash"), ["id", "text_1", "text_2"], "left_semi").withColumn("row", F.monotonically_increasing_id()), "substring-texts")
     words = base.agg(F.sum("n_words")).first()[0] or 0
     cells = max(MIN_CELLS, min(MAX_CELLS, 1 << int(words * CELLS_PER_WORD).bit_length()))
     bits = spark.sparkContext.broadcast(sketch(texts, cells, window))
@@ -197,7 +197,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
         """The windows whose estimate is two or more."""
         hashes = WordHashes()
         for b in batches:
-            ids, t1, t2 = (column(b, c) for c in ("id", "text_1", "text_2"))
+            ids, rows = column(b, "id"), column(b, "row")
             for i, t in enumerate(column(b, "text")):
                 w = hashes.of(t)
                 m = minimizers(w, window)
@@ -211,15 +211,15 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
                     h2 = rolling(_mixed(w), window, BASES[1])[at].view(np.int64)
                     n = len(at)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h1), pa.array(h2), pa.array([ids[i]] * n, b.schema.field("id").type), pa.array(np.full(n, t1[i])), pa.array(np.full(n, t2[i])), pa.array(at.astype(np.int32))],
-                        ["h1", "h2", "id", "text_1", "text_2", "at"],
+                        [pa.array(h1), pa.array(h2), pa.array([ids[i]] * n, b.schema.field("id").type), pa.array(np.full(n, rows[i])), pa.array(at.astype(np.int32))],
+                        ["h1", "h2", "id", "row", "at"],
                     )
 
-    found = arrow_map(texts, candidates, f"h1 bigint, h2 bigint, id {kind}, text_1 bigint, text_2 bigint, at int")
+    found = arrow_map(texts.select("id", "row", "text"), candidates, f"h1 bigint, h2 bigint, id {kind}, row bigint, at int")
     held = found.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
     held = store(held, "substring-held")
-    covered = found.join(held, ["h1", "h2"]).where("least < id").groupBy("id", "text_1", "text_2").agg(F.collect_set("at").alias("at"))
-    rest = texts.join(covered, ["id", "text_1", "text_2"]).dropDuplicates(["id", "text_1", "text_2"])
+    covered = found.join(held, ["h1", "h2"]).where("least < id").groupBy("row").agg(F.collect_list("at").alias("at"))
+    rest = texts.join(covered, "row").drop("row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -236,7 +236,8 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
                 sha.append(hashlib.sha256(b" ".join(w for w, o in zip(words, out.tolist(), strict=True) if not o)).hexdigest())
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ("id", "text_1", "text_2")), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(sha)], ["id", "text_1", "text_2", "gone", "cut", "cut_sha"])
 
-    results = arrow_map(rest, cut, f"id {kind}, text_1 bigint, text_2 bigint, gone bigint, cut array<bigint>, cut_sha string")
+    # Equal ids with equal texts have equal results.
+    results = arrow_map(rest, cut, f"id {kind}, text_1 bigint, text_2 bigint, gone bigint, cut array<bigint>, cut_sha string").dropDuplicates(["id", "text_1", "text_2"])
     firsts = first.select("id", "text_1", "text_2", F.lit(True).alias("first"))
     results = store(firsts.join(results, ["id", "text_1", "text_2"], "left"), "substring-results")
     copy = F.col("first").isNull() & F.col("id").isNotNull() & (F.col("n_words") >= window)
