@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_scoring, packing, preference, quality_rules, sentencepieces, sharding, simhash, substrings, topk
+from . import language_id, lm_scoring, packing, preference, quality_rules, sentencepieces, sharding, simhash, substrings, topk
 from .common import read
 
 
@@ -37,6 +37,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language_id.fit(read(spark, sf_dir, "documents"))
+    return language_id.identify_pages(read(spark, sf_dir, "pages"), model).drop("row").withColumnRenamed("id", "page_id")
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.removals(read(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
@@ -56,7 +61,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_topk": op1_topk, "op2_preference": op2_preference, "op3_sentencepieces": op3_sentencepieces, "op4_simhash": op4_simhash, "op5_sharding": op5_sharding, "op7_substrings": op7_substrings, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_lm_scoring": op10_lm_scoring}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_topk": op1_topk, "op2_preference": op2_preference, "op3_sentencepieces": op3_sentencepieces, "op4_simhash": op4_simhash, "op5_sharding": op5_sharding, "op6_language_id": op6_language_id, "op7_substrings": op7_substrings, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_lm_scoring": op10_lm_scoring}
 ORACLES: dict[str, str] = {
     "op1_topk": """
         WITH v AS (
