@@ -7,11 +7,13 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Fixed value: a word is a run of bytes other than space and tab..carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -69,14 +72,22 @@ def has(df: DataFrame, name: str) -> bool:
     return name in df.columns
 
 
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python this package, once per application; they may start in any folder."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent.parent
+        folder = tempfile.mkdtemp(prefix="strandline-code-")  # served by the driver as long as it runs
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{package.name}-code", "zip", package.parent, package.name))
+        _shipped.add(app)
+
+
+def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    ship(df.sparkSession)
     small_batches(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
-
-
-def bit_block_pack(cells: np.ndarray) -> bytes:
-    return np.packbits(cells).tobytes()
