@@ -610,7 +610,7 @@ def q_equal_shards(spark, d):
 COUNTS = [(1, None, 4), (6, None, 18), (6, 5.0, 5), (6, 10000.0, 36), (6, 0.0, 18), (12, 0.4, 1)]
 
 
-@query(_values(COUNTS, "parallelism, override, probes"))
+@query(_values(COUNTS, "parallelism, override, probes").replace("SELECT *", "SELECT parallelism, CAST(override AS DOUBLE) AS override, probes"))
 def q_probe_count(spark, d):
     df = rows_of(spark, [c[:2] for c in COUNTS], "parallelism int, override double")
     return df.withColumn("probes", shards.probe_count(F.col("parallelism"), F.col("override")))
@@ -802,7 +802,7 @@ SQL = {
     "sql_cte": "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey), top AS (SELECT * FROM big WHERE t > 1000000) SELECT count(*) AS n FROM top",
     "sql_recursive": "WITH RECURSIVE r(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * 2 FROM r WHERE n < 10) SELECT n, f FROM r",
     "sql_string": "SELECT n_nationkey, upper(substring(n_name, 1, 3)) AS u, replace(lower(n_name), 'a', '-') AS r, trim(n_name) AS t, CAST(length(n_name) AS BIGINT) AS n FROM nation",
-    "sql_math": "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 2) AS net, abs(l_quantity - 25) AS off, CAST(floor(l_tax * 100) AS BIGINT) AS tax, sqrt(l_quantity) AS root FROM lineitem",
+    "sql_math": "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net, abs(l_quantity - 25) AS off, CAST(floor(l_tax * 100) AS BIGINT) AS tax, sqrt(l_quantity) AS root FROM lineitem",
     "sql_date": "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(day(o_orderdate) AS BIGINT) AS d FROM orders",
 }
 
