@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: estimated bytes of one indexed id.
 BYTES_PER_ID = 56
+#: Ids of one hour.
+HOUR = 3_600_000 << 22
 
 
 def first_of_each(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -37,10 +39,15 @@ def deal_parts(rows: DataFrame, tails: DataFrame, chunk: int, num: str = "id_num
     """rows with (part, row_seq): each channel's rows in id order fill its open part and go on in new ones.
 
     tails(channel, part, rows): the part that is written to next and the rows it has; a channel without one begins part 1.
+    Rows are numbered within an hour of a channel, and hours by the counts of those before, so that no task sorts a whole channel.
     """
-    place = F.row_number().over(Window.partitionBy(channel).orderBy(num, "id")) - 1
+    rows = rows.withColumn("_hour", F.coalesce(F.floor(F.col(num) / HOUR), F.lit(-1)).cast("bigint"))
+    before = Window.partitionBy(channel).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(channel, "_hour").agg(F.count("*").alias("_c")).select(channel, "_hour", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    nth = F.row_number().over(Window.partitionBy(channel, "_hour").orderBy(num, "id")) - 1
+    rows = rows.withColumn("_nth", nth).join(starts, [channel, "_hour"]).withColumn("_n", F.col("_start") + F.col("_nth")).drop("_hour", "_nth", "_start")
     at = F.coalesce("_rows", F.lit(0)) + F.col("_n")
-    out = rows.withColumn("_n", place).join(tails.select(channel, F.col("part").alias("_part"), F.col("rows").alias("_rows")), channel, "left")
+    out = rows.join(tails.select(channel, F.col("part").alias("_part"), F.col("rows").alias("_rows")), channel, "left")
     return out.withColumns({"part": (F.coalesce("_part", F.lit(1)) + F.floor(at / chunk)).cast("int"), "row_seq": (at % chunk).cast("int")}).drop("_n", "_part", "_rows")
 
 
