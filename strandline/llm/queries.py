@@ -48,7 +48,8 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    out = quality_rules.judge(read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +63,44 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_topk": op1_topk, "op2_preference": op2_preference, "op3_sentencepieces": op3_sentencepieces, "op4_simhash": op4_simhash, "op5_sharding": op5_sharding, "op6_language_id": op6_language_id, "op7_substrings": op7_substrings, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_lm_scoring": op10_lm_scoring}
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _quality_sql() -> str:
+    """The quality rules over DuckDB's lists: base counts, histograms, references, Jensen-Shannon distances."""
+    q = quality_rules
+    size = len(q.CLASSES) + 2
+    vocabulary = {lang: words.split() for lang, words in q.COMMON.items()}
+    gone = lambda pattern: "length(t) - length(regexp_replace(t, '" + pattern.replace("'", "''") + "', '', 'g'))"
+    chars = ", ".join([*(gone(c) for c in q.CLASSES), "length(t) - word_chars", f"word_chars - ({' + '.join(gone(c) for c in q.CLASSES)})"])
+    commons = ", ".join(f"'{lang}': [{', '.join(f'len(list_filter(w, lambda x: x = $${v}$$))' for v in words)}]" for lang, words in vocabulary.items())
+    js = lambda p, q_: f"sqrt(greatest(0.0, list_sum(list_transform(list_zip({p}, {q_}), lambda x: (CASE WHEN x[1] > 0 THEN x[1] * log2(x[1] / ((x[1] + x[2]) / 2)) ELSE 0 END + CASE WHEN x[2] > 0 THEN x[2] * log2(x[2] / ((x[1] + x[2]) / 2)) ELSE 0 END) / 2))))"
+    shares = lambda counts, n: f"list_transform(list_append({counts}, {n} - list_sum({counts})), lambda x: x::DOUBLE / greatest({n}, 1))"
+    sums = ", ".join(f"sum(chars[{k + 1}])" for k in range(size))
+    per_lang = " UNION ALL ".join(f"SELECT '{lang}' AS lang, sum(n_words) AS n, [{sums}] AS c, [{', '.join(f'sum(common[$${lang}$$][{k + 1}])' for k in range(len(words)))}] AS w FROM counted WHERE NOT base_failed AND lang = '{lang}' HAVING count(*) > 0" for lang, words in vocabulary.items())
+    return f"""
+        WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, {WORDS_SQL} AS w FROM documents),
+        windows AS (SELECT doc_id, i, w[i:i + 4] AS k FROM d, LATERAL unnest(range(1, len(w) - 3)) r(i)),
+        twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS n FROM windows) WHERE n > 1),
+        repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM twice, LATERAL unnest(range(i, i + 5)) r(p) GROUP BY doc_id),
+        lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+        base AS (
+            SELECT d.doc_id, lang, t, w, len(w) AS n_words, list_sum(list_append(list_transform(w, lambda x: length(x)), 0))::BIGINT AS word_chars,
+                   len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+            FROM d JOIN lines USING (doc_id) LEFT JOIN repeated r USING (doc_id)
+        ), counted AS (
+            SELECT *, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED} * n_words AS base_failed, [{chars}] AS chars, MAP {{{commons}}} AS common FROM base
+        ), refs AS ({per_lang}),
+        far AS (
+            SELECT doc_id, min(({js("list_transform(chars, lambda x: x::DOUBLE / greatest(list_sum(chars), 1))", "list_transform(c, lambda x: x::DOUBLE / greatest(list_sum(c), 1))")} + {js(shares("common[refs.lang]", "n_words"), shares("refs.w", "refs.n"))}) / 2) AS distance
+            FROM counted, refs GROUP BY doc_id
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT (n_words >= {q.MIN_WORDS} AND coalesce(distance, 0) > greatest({q.MAX_DISTANCE}, {q.FLOOR} + {q.NOISE} / sqrt(greatest(n_words, 1)))) AS kept
+        FROM counted LEFT JOIN far USING (doc_id)
+    """
+
+
 ORACLES: dict[str, str] = {
     "op1_topk": """
         WITH v AS (
@@ -77,4 +116,14 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op7_substrings": f"""
+        WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM d, LATERAL unnest(range(1, len(w) - 48)) r(i)),
+        firsts AS (SELECT k, min(doc_id) AS least FROM windows GROUP BY k),
+        gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS p FROM windows JOIN firsts USING (k) WHERE least < doc_id GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(len(p), 0) AS n_removed,
+               sha256(coalesce(array_to_string(list_filter(w, lambda x, i: p IS NULL OR NOT list_contains(p, i)), ' '), '')) AS kept_sha256
+        FROM d LEFT JOIN gone USING (doc_id)
+    """,
+    "op8_quality_rules": _quality_sql(),
 }
