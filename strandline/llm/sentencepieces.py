@@ -29,7 +29,7 @@ from .common import arrow_map, bytes_of, column
 SPACE = "▁"
 TRAINER, NORMALIZER, MODEL_TYPE, CHARSMAP, DUMMY_PREFIX, SQUEEZE = 2, 3, 3, 2, 3, 4
 UNIGRAM, BYTE_PAIR = 1, 2
-CACHE_WORDS, CACHE_PAIRS = 700_000, 2_000_000
+CACHE_WORDS, CACHE_PAIRS = 1_000_000, 1_000_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -112,45 +112,46 @@ class Pieces:
         return [self.bytes[x] for x in char.encode()] if self.bytes else [self.unknown]
 
     def _viterbi(self, text: str) -> list[int]:
-        """The ids of a run of text: last[i] is the piece that ends the best way to i, -1 for a character without one."""
+        """The ids of a run of text: last[i] is the piece that ends the best way to i, below zero for a character of its own."""
         n = len(text)
-        last, best = [-2] * (n + 1), [0.0] * (n + 1)
-        length = [1] * (n + 1)
-        at, pairs, unigram = 1, self.pairs, self.kind == UNIGRAM
-        floor = min(self.score) - 10 if unigram else 0.0
+        last, length = [-1] * (n + 1), [1] * (n + 1)
+        if self.kind == UNIGRAM:
+            self._relax_scores(text, last, length)
+        else:
+            pairs = self.pairs
+            for end, (size, piece) in self.automaton.iter(text):
+                end += 1
+                if last[end] >= 0:
+                    continue
+                before = last[end - size]
+                ok = pairs.get(before << 32 | piece) if before >= 0 else size == 1 or self._merged_alone(piece)
+                if ok or ok is None and self._apart(before, piece):
+                    last[end], length[end] = piece, size
+        out: list[int] = []
+        while n:
+            out += [last[n]] if last[n] >= 0 else self._fallback(text[n - 1])[::-1]
+            n -= length[n]
+        return out[::-1]
+
+    def _relax_scores(self, text: str, last: list[int], length: list[int]) -> None:
+        """A character of its own scores below every piece."""
+        best, at, floor = [0.0] * (len(text) + 1), 1, min(self.score) - 10
+        reached = [False] * (len(text) + 1)
 
         def alone(upto: int) -> None:
-            """Positions that no piece reached end with a character of its own."""
             nonlocal at
             while at < upto:
-                if last[at] == -2:
-                    last[at], length[at], best[at] = -1, 1, best[at - 1] + floor
+                if not reached[at]:
+                    best[at] = best[at - 1] + floor
                 at += 1
 
         for end, (size, piece) in self.automaton.iter(text):
             end += 1
             alone(end)
-            begin = end - size
-            if unigram:
-                score = best[begin] + self.score[piece]
-                if last[end] == -2 or score > best[end]:
-                    last[end], length[end], best[end] = piece, size, score
-            elif last[end] == -2:
-                before = last[begin] if begin else -1
-                if before < 0:
-                    ok = size == 1 or self._merged_alone(piece)
-                else:
-                    ok = pairs.get(before << 32 | piece)
-                    if ok is None:
-                        ok = self._apart(before, piece)
-                if ok:
-                    last[end], length[end] = piece, size
-        alone(n + 1)
-        out: list[int] = []
-        while n:
-            out += [last[n]] if last[n] >= 0 else self._fallback(text[n - 1])[::-1]
-            n -= length[n]
-        return out[::-1]
+            score = best[end - size] + self.score[piece]
+            if not reached[end] or score > best[end]:
+                reached[end], last[end], length[end], best[end] = True, piece, size, score
+        alone(len(text) + 1)
 
     def _merged_alone(self, piece: int) -> bool:
         """Whether merging makes the piece from its characters."""
