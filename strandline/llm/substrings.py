@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bytes_of, column, store
+from .common import arrow_map, bytes_of, column, discard, store
 
 WINDOW = 50
 GRAM = 32
@@ -240,6 +240,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     results = arrow_map(rest, cut, f"id {kind}, text_1 bigint, text_2 bigint, gone bigint, cut array<bigint>, cut_sha string").dropDuplicates(["id", "text_1", "text_2"])
     firsts = first.select("id", "text_1", "text_2", F.lit(True).alias("first"))
     results = store(firsts.join(results, ["id", "text_1", "text_2"], "left"), "substring-results")
+    discard(texts, held)
     copy = F.col("first").isNull() & F.col("id").isNotNull() & (F.col("n_words") >= window)
     nothing = hashlib.sha256(b"").hexdigest()
     return base.join(results, ["id", "text_1", "text_2"], "left").select(
