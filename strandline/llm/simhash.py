@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bytes_of, column, store
+from .common import arrow_map, bytes_of, column, discard, store
 
 MAX_DISTANCE = 3
 #: Fingerprints that may share a segment value and still be paired one by one.
@@ -126,6 +126,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = store(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     mark = None
     while True:
+        before = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -133,6 +134,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).distinct()
         edges = store(small, "cc-small")
+        discard(large, before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == mark:
             break
@@ -150,8 +152,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     marked = store(with_fingerprints(df, id_col, text_col, shingle), "simhash-docs")
     fps = store(marked.groupBy("fp").agg(F.min("id").alias("first")), "simhash-fps")
-    comps = store(components(links(fps.select("fp"))), "simhash-comps")
+    near = links(fps.select("fp"))
+    comps = store(components(near), "simhash-comps")
     linked = comps.join(fps, comps.node == fps.fp)
     named = store(linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id"), "simhash-named")
     names = store(fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "simhash-names")
+    discard(near, fps, comps, named)
     return marked.join(names, "fp").select("id", "fp", "component_id")
