@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import has, store
+from .common import discard, has, store
 
 #: Bins of one count of a node, as bits.
 BIN_BITS = 11
@@ -119,6 +119,7 @@ def shard(df: DataFrame, shards: int = 8, target_bytes: int | None = None, id_co
     # Rows are numbered within stored partition and shard; a partition's numbers start where the ones before it end.
     part = F.shiftright("row", 33)
     dealt = store(dealt.withColumn("part", part), "sharding-dealt")
+    discard(rows, points)
     starts = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"))
     starts = starts.withColumn("start", F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "part", F.coalesce("start", F.lit(0)).alias("start"))
     numbered = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "part").orderBy("row")))
