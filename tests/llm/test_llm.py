@@ -187,6 +187,28 @@ def test_links_connect_what_all_pairs_connect(spark, monkeypatch, heavy):
     assert [got.get(f, f) for f in fps] == [fps[r] for r in root]
 
 
+def changed(words, at, tag):
+    out = list(words)
+    for k in at:
+        out[k] = f"{tag}c{k}"
+    return out
+
+
+def groups_in(spark, texts, slices):
+    df = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(map(" ".join, texts))), slices), "row bigint, text string")
+    return {r.row: r.group for r in similar.groups(df, "row", "text").collect()}
+
+
+def test_similar_variants_of_one_text_keep_their_own_links(spark):
+    base = [f"b{i}" for i in range(200)]
+    spread = lambda i: [(i * 3 + 40 * k + 7) % 190 for k in range(4)]
+    variants = [changed(base, spread(i), f"v{i}") for i in range(30)]  # 0.81 similar to base
+    further = [changed(variants[20 + i], [x + 20 for x in spread(20 + i)[:3]], f"f{i}") for i in range(10)]  # 0.86 to one variant, 0.70 to base
+    others = [[f"o{k}x{i}" for i in range(60)] for k in range(41)]
+    got = groups_in(spark, [base, *variants, *further, *others], 2)
+    assert got == dict.fromkeys(range(41), 0)
+
+
 def test_similar_groups_match_exact_jaccard(spark):
     rng = random.Random(9)
     base = [prose(rng, 120).split() for _ in range(20)]
