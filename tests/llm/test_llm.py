@@ -209,6 +209,16 @@ def test_similar_variants_of_one_text_keep_their_own_links(spark):
     assert got == dict.fromkeys(range(41), 0)
 
 
+def test_similar_pairs_at_the_limit_are_all_found(spark):
+    rng = random.Random(4)
+    texts = []
+    for i in range(1500):
+        words = [f"p{i}w{k}" for k in range(49)]  # 45 shingles, of which a change takes five: 0.8
+        texts += [words, changed(words, [rng.randrange(4, 45)], "n")]
+    got = groups_in(spark, texts, 4)
+    assert got == {i: i - i % 2 for i in range(3000)}
+
+
 def test_similar_groups_match_exact_jaccard(spark):
     rng = random.Random(9)
     base = [prose(rng, 120).split() for _ in range(20)]
