@@ -219,6 +219,16 @@ def test_similar_pairs_at_the_limit_are_all_found(spark):
     assert got == {i: i - i % 2 for i in range(3000)}
 
 
+def test_similar_copies_in_a_crowd_of_one_template(spark):
+    template = [f"t{i}" for i in range(204)]
+    texts = []
+    for i in range(2000):
+        own = changed(template, range(4, 200, 20), f"d{i}")  # 0.6 similar to the others
+        texts += [own, changed(own, [190, 30], "n")] if i < 60 else [own]
+    got = groups_in(spark, texts[::-1], 4)
+    assert got == {i: i - i % 2 for i in range(len(texts) - 120, len(texts))}
+
+
 def test_similar_groups_match_exact_jaccard(spark):
     rng = random.Random(9)
     base = [prose(rng, 120).split() for _ in range(20)]
