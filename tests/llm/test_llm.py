@@ -229,6 +229,17 @@ def test_similar_copies_in_a_crowd_of_one_template(spark):
     assert got == {i: i - i % 2 for i in range(len(texts) - 120, len(texts))}
 
 
+def test_similar_sets_are_equal_whatever_repeats(spark):
+    once, often = [], []
+    for i in range(200):
+        words, line = [f"e{i}w{k}" for k in range(230)], [f"e{i}r{k}" for k in range(14)]
+        # A line repeated; the shingles across its ends are there in both.
+        once.append([*words, *line, *line])
+        often.append([*words, *(line * 9)])
+    got = groups_in(spark, once + often, 2)
+    assert got == {i: i % 200 for i in range(400)}
+
+
 def test_similar_groups_match_exact_jaccard(spark):
     rng = random.Random(9)
     base = [prose(rng, 120).split() for _ in range(20)]
