@@ -458,3 +458,11 @@ def test_bits_make_one_distribution():
     model = lm_scoring.Model(tree, {})
     total = sum(10 ** model.log10(np.array([leaf]), np.zeros(1, np.uint64), np.zeros(1, np.int64))[0] for leaf in range(lm_scoring.LEAVES + lm_scoring.CLASSES + 1))
     assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_every_bit_moves_weights_and_refines():
+    tree = lm_scoring.Tree([5.0] * lm_scoring.LEAVES + [1.0] * lm_scoring.CLASSES + [2.0])
+    learner, rng = lm_scoring.Learner(tree), np.random.default_rng(1)
+    leaf = rng.integers(0, lm_scoring.LEAVES + lm_scoring.CLASSES, 1000)
+    learner.learn(leaf, leaf.astype(np.uint64), np.zeros(1, np.int64))
+    assert learner.used.sum() == learner.fine.sum() == tree.length[leaf].sum()
