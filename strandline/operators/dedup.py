@@ -26,8 +26,11 @@ def guard_ids(archive: DataFrame, mode: str = "exact", parts: int = 3, max_ids:
         newest = archive.select(channel, "part").distinct().withColumn("_k", F.row_number().over(Window.partitionBy(channel).orderBy(F.desc("part")))).where(F.col("_k") <= parts).drop("_k")
         rows = archive.join(newest, [channel, "part"], "left_semi")
     if max_ids is not None:
-        order = Window.partitionBy(channel).orderBy(F.desc("part"), F.desc("row_seq"))
-        rows = rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= max_ids)
+        # A part's rows are numbered without gaps, so counts of parts say where each row stands; no rows are sorted.
+        sizes = rows.groupBy(channel, "part").agg(F.count("*").alias("_c"), F.max("row_seq").alias("_last"))
+        newer = Window.partitionBy(channel).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+        sizes = sizes.select(channel, "part", "_last", F.coalesce(F.sum("_c").over(newer), F.lit(0)).alias("_newer")).where(F.col("_newer") < max_ids)
+        rows = rows.join(sizes, [channel, "part"]).where(F.col("_newer") + F.col("_last") - F.col("row_seq") < max_ids)
     return rows.select(channel, "id")
 
 
@@ -35,17 +38,24 @@ def new_rows(batch: DataFrame, guard: DataFrame, channel: str = "channel_id") ->
     return batch.join(guard, [channel, "id"], "left_anti")
 
 
-def deal_parts(rows: DataFrame, tails: DataFrame, chunk: int, num: str = "id_num", channel: str = "channel_id") -> DataFrame:
-    """rows with (part, row_seq): each channel's rows in id order fill its open part and go on in new ones.
+def numbered(rows: DataFrame, name: str, num: str = "id_num", channel: str = "channel_id") -> DataFrame:
+    """rows with their number in the id order of their channel, from 0; rows whose id is no number come first.
 
-    tails(channel, part, rows): the part that is written to next and the rows it has; a channel without one begins part 1.
     Rows are numbered within an hour of a channel, and hours by the counts of those before, so that no task sorts a whole channel.
     """
     rows = rows.withColumn("_hour", F.coalesce(F.floor(F.col(num) / HOUR), F.lit(-1)).cast("bigint"))
     before = Window.partitionBy(channel).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(channel, "_hour").agg(F.count("*").alias("_c")).select(channel, "_hour", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
     nth = F.row_number().over(Window.partitionBy(channel, "_hour").orderBy(num, "id")) - 1
-    rows = rows.withColumn("_nth", nth).join(starts, [channel, "_hour"]).withColumn("_n", F.col("_start") + F.col("_nth")).drop("_hour", "_nth", "_start")
+    return rows.withColumn("_nth", nth).join(starts, [channel, "_hour"]).withColumn(name, F.col("_start") + F.col("_nth")).drop("_hour", "_nth", "_start")
+
+
+def deal_parts(rows: DataFrame, tails: DataFrame, chunk: int, num: str = "id_num", channel: str = "channel_id") -> DataFrame:
+    """rows with (part, row_seq): each channel's rows in id order fill its open part and go on in new ones.
+
+    tails(channel, part, rows): the part that is written to next and the rows it has; a channel without one begins part 1.
+    """
+    rows = numbered(rows, "_n", num, channel)
     at = F.coalesce("_rows", F.lit(0)) + F.col("_n")
     out = rows.join(tails.select(channel, F.col("part").alias("_part"), F.col("rows").alias("_rows")), channel, "left")
     return out.withColumns({"part": (F.coalesce("_part", F.lit(1)) + F.floor(at / chunk)).cast("int"), "row_seq": (at % chunk).cast("int")}).drop("_n", "_part", "_rows")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import from_ms, to_ms
 
+HOUR_MS = 3_600_000
 #: A window ends this long after now; below SHORT_MS a history is one shard.
 AHEAD_MS, SHORT_MS = 60_000, 7 * 24 * 3600 * 1000
 PROBES_PER_SHARD, LEAST_PROBES, MOST_PROBES, MOST_SHARDS, PROBE_SPAN_MS = 3, 4, 36, 12, 24 * 3600 * 1000
@@ -41,16 +42,27 @@ def probe_times(channels: DataFrame, now_ms: int, probes: int, channel: str = "c
 def local_rates(times: DataFrame, messages: DataFrame, channel: str = "channel", page: int = 100) -> DataFrame:
     """(channel, k, t, rate, samples): the newest `page` messages before each probe time, over the time back to the oldest of them.
 
-    messages(channel, ms). A probe needs the last page before its time only: messages are numbered per channel once, and a
-    probe looks up the numbers around its own, so no message is paired with every probe.
+    messages(channel, ms). Messages are counted by hour, and the counts say from which hour on a probe's page can begin; only
+    messages from there to the probe are looked at. No task sorts a channel's messages, only its hours and probes.
     """
-    both = times.select(channel, "k", "t").unionByName(messages.select(channel, F.lit(None).cast("int").alias("k"), F.col("ms").alias("t")))
-    w = Window.partitionBy(channel).orderBy("t", F.col("k").isNull().cast("int"))
-    before = F.count(F.when(F.col("k").isNull(), 1)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    ranked = both.withColumn("n", before)
-    numbered = ranked.where("k IS NULL").select(channel, (F.col("n") + 1).alias("n"), F.col("t").alias("oldest"))
-    probes = ranked.where("k IS NOT NULL").withColumn("samples", F.least(F.col("n"), F.lit(page))).withColumn("n", F.col("n") - F.col("samples") + 1)
-    out = probes.join(numbered, [channel, "n"], "left")
+    hour = lambda c: F.floor(F.col(c) / HOUR_MS).cast("bigint")
+    counts = messages.groupBy(channel, hour("ms").alias("h")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(channel).orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    hours = counts.select(channel, "h", upto.alias("upto"))
+    none = lambda kind: F.lit(None).cast(kind)
+    # All messages of the hours before the probe's: then the hour that holds the first of the last `page` of them.
+    both = hours.select(channel, "h", "upto", none("int").alias("k"), none("bigint").alias("t")).unionByName(times.select(channel, hour("t").alias("h"), none("bigint").alias("upto"), "k", "t"))
+    earlier = Window.partitionBy(channel).orderBy("h", F.col("k").isNull().cast("int")).rowsBetween(Window.unboundedPreceding, -1)
+    probes = both.withColumn("want", F.coalesce(F.max("upto").over(earlier), F.lit(0)) - page).where("k IS NOT NULL")
+    both = hours.select(channel, F.col("upto").alias("at"), "h", none("int").alias("k"), none("bigint").alias("t")).unionByName(probes.select(channel, F.col("want").alias("at"), none("bigint").alias("h"), "k", "t"))
+    later = Window.partitionBy(channel).orderBy("at", F.col("k").isNotNull().cast("int")).rowsBetween(1, Window.unboundedFollowing)
+    probes = both.withColumn("from_h", F.first("h", ignorenulls=True).over(later)).where("k IS NOT NULL").select(channel, "k", "t", "from_h")
+    windows = probes.groupBy(channel).agg(F.collect_list(F.struct("k", "t", "from_h")).alias("_w"))  # MOST_PROBES at most
+    hit = F.filter("_w", lambda w: (F.col("ms") < w.t) & (F.col("_h") >= w.from_h))
+    near = messages.select(channel, "ms", hour("ms").alias("_h")).join(windows, channel).select(channel, "ms", F.explode(hit).alias("w")).select(channel, "ms", "w.k")
+    newest = near.withColumn("n", F.row_number().over(Window.partitionBy(channel, "k").orderBy(F.desc("ms")))).where(F.col("n") <= page)
+    pages = newest.groupBy(channel, "k").agg(F.count("*").alias("samples"), F.min("ms").alias("oldest"))
+    out = times.select(channel, "k", "t").join(pages, [channel, "k"], "left").withColumn("samples", F.coalesce("samples", F.lit(0)))
     width = F.when(F.col("t") > F.col("oldest"), F.col("t") - F.col("oldest")).otherwise(1000)
     return out.select(channel, "k", "t", F.when(F.col("samples") == 0, F.lit(0.0)).otherwise(F.col("samples") / F.greatest(F.lit(1), width)).alias("rate"), "samples")
 

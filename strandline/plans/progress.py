@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The last row of each key; of rows that tie, the greatest. A hot key costs a row per task."""
+    most = rows.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("_o"), *[F.col(c) for c in rows.columns if c not in keys])).alias("_r"))
+    return most.select(*[c if c in keys else F.col(f"_r.{c}").alias(c) for c in rows.columns])
+
+
+def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """table with rows in place of those of the same keys."""
+    return table.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows, allowMissingColumns=True).select(*table.columns)
 
 
 def update(progress: DataFrame, updates: DataFrame, now: Column) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROW = "struct<id:string,author:string,content:string,timestamp:string,replyTo:string,replyToAuthor:string,attachments:int,attachmentUrls:array<string>,imageUrls:array<string>,threadId:string>"
+from ..schemas import EXPORT_ROW
+
+ROW = f"struct<{EXPORT_ROW}>"
 HEADER = f"struct<channelId:string,channelName:string,part:int,open:boolean,messages:array<{ROW}>>"
 
 

@@ -64,7 +64,11 @@ def spark_array(jvm, mode):
 
 
 class Table:
-    """A versioned table with a fixed schema; empty until first written."""
+    """A versioned table with a fixed schema; empty until first written. The pointer names the folders whose rows count: what was
+    written last as a whole, and what was added to it since."""
+
+    #: Added folders beyond which an append puts all into one.
+    MOST = 32
 
     def __init__(self, spark: SparkSession, root: str, schema: str):
         self.spark, self.root, self.schema, self.files = spark, root.rstrip("/"), schema, Files(spark)
@@ -77,28 +81,44 @@ class Table:
         version = self.version()
         if version is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{version}")
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/{v}" for v in version.split()])
 
     def write(self, df: DataFrame) -> None:
-        """df may be made from the table's current rows."""
+        """Replaces all rows. df may be made from the table's current ones."""
         old, version = self.version(), f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{version}")
         self.files.replace(self.pointer, version)
         # One version back stays, for readers that began before.
+        keep = {version, *(old or "").split()}
         for p in self.files.glob(f"{self.root}/v-*"):
-            if not p.endswith((version, old or version)):
+            if p.rsplit("/", 1)[1] not in keep:
                 self.files.delete(p)
 
+    def append(self, df: DataFrame) -> None:
+        """Adds rows without writing the others again, but for one time in MOST."""
+        old, version = self.version(), f"v-{uuid.uuid4().hex}"
+        if old is None or len(old.split()) >= self.MOST:
+            self.write(df if old is None else self.read().unionByName(df.select(*self.read().columns)))
+            return
+        df.write.parquet(f"{self.root}/{version}")
+        self.files.replace(self.pointer, f"{old}\n{version}")
+
+    def readable(self) -> bool:
+        """Whether every row of the current version can be read."""
+        try:
+            self.read().write.format("noop").mode("overwrite").save()
+            return True
+        except Exception:  # noqa: BLE001  whatever makes it unreadable
+            return False
+
     def quarantine(self) -> str | None:
         """Puts a table that can't be read aside and starts a new one; the old pointer's text, if any."""
-        try:
-            self.read().limit(1).count()
+        if self.readable():
             return None
-        except Exception:  # noqa: BLE001  whatever made it unreadable
-            text = self.files.read(self.pointer)
-            self.files.write(f"{self.root}/CORRUPT-{uuid.uuid4().hex}", text)
-            self.files.delete(self.pointer)
-            return text
+        text = self.files.read(self.pointer)
+        self.files.write(f"{self.root}/CORRUPT-{uuid.uuid4().hex}", text)
+        self.files.delete(self.pointer)
+        return text
 
 
 class LockHeldError(RuntimeError):

@@ -2,16 +2,19 @@
 
 import json
 import os
+import shutil
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.engine import Engine
+from strandline.config import load
+from strandline.engine import Engine, refuse_writes
 from strandline.functions.ids import ms_to_id
 from strandline.schemas import RAW_MESSAGE
 from strandline.sources import jsonfiles
 from strandline.sources.archive import Archive
-from strandline.sources.tables import LockHeldError, WriterLock
+from strandline.sources.tables import LockHeldError, Table, WriterLock
 
 BASE = ms_to_id(1704067200000)
 
@@ -185,3 +188,175 @@ def test_failed_capture_rolls_back(spark, tmp_path):
         e.capture(targets, f"{tmp_path}/missing", f"{tmp_path}/cp")
     assert e.progress.read().first().status == "done"
     assert [r.status for r in e.sessions.read().collect()] == ["error"]
+
+
+def test_new_checkpoint_loses_nothing(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/n", chunk=50)
+    targets = spark.createDataFrame([("c", "")], "channel_id string, floor string")
+    raw(spark, range(10)).write.mode("append").json(f"{tmp_path}/landing")
+    e.capture(targets, f"{tmp_path}/landing", f"{tmp_path}/a/b")
+    shutil.rmtree(tmp_path / "a/b")
+    raw(spark, range(10, 30)).write.mode("append").json(f"{tmp_path}/landing")
+    e.capture(targets, f"{tmp_path}/landing", f"{tmp_path}/a/b")
+    assert e.archive.read().count() == 30
+    raw(spark, range(30, 35)).write.mode("append").json(f"{tmp_path}/other")
+    e.capture(targets, f"{tmp_path}/other", f"{tmp_path}/a-b")
+    assert e.archive.read().count() == 35
+    assert {(r.status, r.message_count) for r in e.sessions.read().collect()} == {("stopped", 10), ("stopped", 20), ("stopped", 5)}
+
+
+@pytest.mark.parametrize("harm", ["missing", "corrupt"])
+def test_lost_manifest_is_rebuilt_before_an_append(spark, tmp_path, harm):
+    a = Archive(spark, f"file://{tmp_path}/r", chunk=10)
+    a.append(rows(spark, range(25)))
+    if harm == "missing":
+        (tmp_path / "r/manifest/CURRENT").unlink()
+    else:
+        for f in (tmp_path / "r/manifest").glob("v-*/*.parquet"):
+            f.write_bytes(b"PAR1 broken")
+        for f in (tmp_path / "r/manifest").glob("v-*/.*.crc"):
+            f.unlink()
+    b = Archive(spark, f"file://{tmp_path}/r", chunk=10)
+    assert b.read().count() == 25
+    assert b.append(rows(spark, range(20, 30))) == {"written": 5, "skipped": 5}
+    assert totals(b)["c"] == (30, 3)
+    assert sorted(int(r.id) - BASE for r in b.read().collect()) == list(range(30))
+
+
+def test_rebuilt_open_part_stays_open_and_sealed_ones_sealed(spark, archive):
+    archive.append(rows(spark, range(7)))
+    archive.forget_manifest()
+    archive.append(rows(spark, range(7, 9)))
+    assert totals(archive)["c"] == (9, 1)
+    archive.finalize()
+    archive.forget_manifest()
+    archive.append(rows(spark, range(9, 10)))
+    assert totals(archive)["c"] == (10, 2)
+
+
+def test_compaction_keeps_parts_open_and_names_known(spark, archive):
+    archive.append(rows(spark, range(3)), "one")
+    archive.append(rows(spark, range(3, 6)), "two")
+    archive.compact()
+    assert archive.manifest.read().where("messages > 0").count() == 1
+    assert archive.append(rows(spark, range(6, 9)), "one") == {"written": 0, "skipped": 0}
+    archive.append(rows(spark, range(6, 9)), "three")
+    assert totals(archive)["c"] == (9, 1)
+    archive.vacuum()
+    assert sorted(int(r.id) - BASE for r in archive.read().collect()) == list(range(9))
+
+
+def test_columns_that_come_later(spark, archive):
+    archive.append(rows(spark, range(3)))
+    archive.append(rows(spark, range(3, 6)).withColumn("more", F.lit("m")))
+    assert sorted((int(r.id) - BASE, r.more) for r in archive.read().collect()) == [(n, "m" if n > 2 else None) for n in range(6)]
+
+
+def test_ids_that_are_no_numbers_and_odd_channel_names(spark, archive):
+    odd = spark.createDataFrame([("a/b=c d%", "x1", "t"), ("a/b=c d%", str(BASE), "t")], "channel_id string, id string, content string")
+    assert archive.append(odd)["written"] == 2
+    assert archive.append(odd) == {"written": 0, "skipped": 2}
+    assert archive.read("a/b=c d%").count() == 2
+    archive.forget_manifest()
+    assert archive.append(odd) == {"written": 0, "skipped": 2}
+
+
+def test_reads_only_parts_in_range(spark, archive):
+    archive.append(rows(spark, range(100)))
+    got = archive.read("c", BASE + 35, BASE + 44)
+    assert sorted(int(r.id) - BASE for r in got.collect()) == list(range(35, 45))
+    assert sum("/data/" in f for f in got.inputFiles()) == 2
+
+
+def test_table_appends_and_folds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Table, "MOST", 3)
+    t = Table(spark, f"file://{tmp_path}/t", "x int")
+    for k in range(8):
+        t.append(spark.createDataFrame([(k,)], "x int"))
+        assert sorted(r.x for r in t.read().collect()) == list(range(k + 1))
+        assert len(t.version().split()) <= 3
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["", "DROP TABLE messages", "FROM range(3) INSERT OVERWRITE DIRECTORY '/tmp/x' USING parquet SELECT id", "WITH s AS (SELECT 1 AS a) INSERT INTO tt SELECT a FROM s", "CREATE TABLE x AS SELECT 1", "SET a=b", "SELECT reflect('java.lang.System', 'exit', 1)", "SELECT TRANSFORM(id) USING 'cat' AS (x string) FROM range(2)", "BEGIN SELECT 1; END", "EXPLAIN CODEGEN; SELECT 1"],
+)
+def test_sql_refuses_what_is_no_query(spark, text):
+    with pytest.raises(ValueError, match="only queries"):
+        refuse_writes(spark, text)
+
+
+@pytest.mark.parametrize("text", ["(SELECT 1)", "VALUES (1)", "WITH s AS (SELECT 1 AS a) SELECT * FROM s WHERE a IN (SELECT 1)", "TABLE messages", "FROM range(3) SELECT id", "SHOW TABLES", "EXPLAIN SELECT 1", "DESCRIBE messages"])
+def test_sql_runs_queries(spark, text):
+    refuse_writes(spark, text)
+
+
+def test_live_holds_the_lock_and_closes(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/s", chunk=50)
+    e.ingest(raw(spark, range(5)), NOW)
+    targets = spark.createDataFrame([("c", str(BASE + 4))], "channel_id string, floor string")
+    raw(spark, range(12)).write.mode("append").json(f"{tmp_path}/landing")
+    s = e.live(targets, f"{tmp_path}/landing", f"{tmp_path}/cp", seconds=1)
+    with pytest.raises(LockHeldError):
+        e.ingest(raw(spark, range(5)), NOW)
+    s.query.processAllAvailable()
+    assert {r.status for r in e.progress.read().collect()} == {"live"}
+    s.stop()
+    assert [(r.status, r.message_count, r.last_message_id) for r in e.sessions.read().collect()] == [("stopped", 7, str(BASE + 11))]
+    assert e.progress.read().first().status == "done"
+    with pytest.raises(Exception):  # noqa: B017
+        e.live(targets, f"{tmp_path}/nowhere", f"{tmp_path}/cp2")
+    assert sorted(r.status for r in e.sessions.read().collect()) == ["error", "stopped"]
+    assert e.ingest(raw(spark, range(12, 14)), NOW)["written"] == 2
+
+
+def test_broken_small_tables_are_put_aside(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/q", chunk=50)
+    e.upsert_channels(spark.createDataFrame([("c", "s", "S", "n", True), ("d", "s", "S", "n", False)], "channel_id string, server_id string, server_name string, channel_name string, enabled boolean"))
+    assert [r.channel_id for r in e.enabled_channels().collect()] == ["c"]
+    e.upsert_channels(spark.createDataFrame([("d", "s", "S", "n", True)], "channel_id string, server_id string, server_name string, channel_name string, enabled boolean"))
+    e.remove_channel("c")
+    assert [r.channel_id for r in e.enabled_channels().collect()] == ["d"]
+    for f in [*(tmp_path / "q/channels").glob("v-*/*.parquet"), *(tmp_path / "q/channels").glob("v-*/.*.crc")]:
+        f.unlink() if f.suffix == ".crc" else f.write_bytes(b"no parquet")
+    again = Engine(spark, f"file://{tmp_path}/q", chunk=50)
+    assert len(again.quarantined) == 1
+    assert again.channels.read().count() == 0
+
+
+def test_watch_goes_on_after_a_failed_cycle(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/w", chunk=50)
+    e.ingest(raw(spark, range(5)), NOW)
+    stop, seen, turns = threading.Event(), [], iter([RuntimeError("no landing"), raw(spark, range(9))])
+
+    def landing():
+        x = next(turns)
+        if isinstance(x, Exception):
+            raise x
+        return x, NOW
+
+    def done(out):
+        seen.append(out)
+        if len(seen) == 2:
+            stop.set()
+
+    assert e.watch(landing, stop, seconds=0, jitter=0, done=done) == 1
+    assert isinstance(seen[0], RuntimeError)
+    assert seen[1]["written"] == 4
+
+
+def test_open_shards_keep_a_channel_from_its_baseline(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/o", chunk=50)
+    e.ingest(raw(spark, range(10, 20), str(BASE)), NOW)
+    states = e.plan_windows(e.progress.read().select("channel_id"), NOW, 4)
+    e.save_states(states)
+    again = e.plan_windows(e.progress.read().select("channel_id"), NOW + 86_400_000, 4)
+    assert again.first().state.segments == states.first().state.segments  # saved windows are resumed
+    assert e.plan_windows(e.progress.read().select("channel_id"), NOW, 3).first().state.parallelism == 3
+    assert e.decide(True).first().reason == "pending-shards"
+    assert e.ingest(raw(spark, range(20), str(BASE)), NOW, incremental=True)["written"] == 10
+
+
+def test_config_file_and_environment():
+    got = load("PARALLELISM=4x\n# c\n CHUNK_SIZE = 7 \n=3\nPRETTY_JSON=TRUE\nWATCH_INTERVAL_MINUTES=2", {"CHUNK_SIZE": "9", "BALANCE_SHARDS": "False", "DENSITY_PROBES": "0"})
+    assert (got.parallelism, got.chunk_size, got.pretty_json, got.balance_shards, got.density_probes, got.watch_interval_ms) == (4, 9, True, False, None, 120_000)
