@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ids, text
@@ -94,24 +94,28 @@ def page_before(spark, d):
     return windows.page_before(messages(spark, d), HIGH).select("id_num", "channel_id")
 
 
-SEGMENTS = [("a", 0, 100, True, 200, None), ("a", 1, 200, False, 300, 250), ("b", 0, 50, True, 90, None), ("b", 1, 40, False, 60, 55)]
-SEGMENTS_SQL = "segments(channel_id, index, after, after_inclusive, before, cursor) AS (VALUES ('a',0,100,true,200,NULL),('a',1,200,false,300,250),('b',0,50,true,90,NULL),('b',1,40,false,60,55))"
+SEGMENTS = """segments AS (
+    SELECT channel_id, user_id % 2 AS index, min(id_num) AS after, user_id % 2 = 0 AS after_inclusive, max(id_num) + 1 AS before, CASE WHEN count(*) % 2 = 0 THEN max(id_num) END AS cursor
+    FROM m GROUP BY channel_id, user_id % 2
+), span AS (SELECT channel_id, min(after) AS after, max(coalesce(cursor, before)) AS before, arg_min(after_inclusive, after) AS after_inclusive FROM segments GROUP BY channel_id)"""
 
 
-def _segments(spark):
-    return rows_of(spark, SEGMENTS, "channel_id string, index int, after bigint, after_inclusive boolean, before bigint, cursor bigint")
+def _segments(spark, d):
+    """Two pending windows a channel; those of an even number of messages are fetched down to their last one."""
+    g = messages(spark, d).groupBy("channel_id", (F.col("user_id") % 2).alias("index")).agg(F.min("id_num").alias("after"), (F.max("id_num") + 1).alias("before"), F.when(F.count("*") % 2 == 0, F.max("id_num")).alias("cursor"))
+    return g.withColumn("after_inclusive", F.col("index") == 0)
 
 
-@query(f"WITH {SEGMENTS_SQL} SELECT channel_id, CAST(min(after) AS BIGINT) AS after, CAST(max(coalesce(cursor, before)) AS BIGINT) AS before, arg_min(after_inclusive, after) AS after_inclusive FROM segments GROUP BY channel_id")
+@query(f"WITH {M}, {SEGMENTS} SELECT channel_id, after, before, after_inclusive FROM span")
 def sweep_span(spark, d):
-    return windows.sweep_span(_segments(spark), "channel_id")
+    return windows.sweep_span(_segments(spark, d), "channel_id")
 
 
-@query(f"WITH {SEGMENTS_SQL}, span AS (SELECT channel_id, min(after) a, max(coalesce(cursor, before)) b, arg_min(after_inclusive, after) inc FROM segments GROUP BY channel_id), {M} SELECT channel_id, seq FROM span, m_seq WHERE seq < b AND (CASE WHEN inc THEN seq >= a ELSE seq > a END)".replace("m_seq", "(SELECT seq FROM m)"))
+@query(f"WITH {M}, {SEGMENTS} SELECT m.channel_id, m.seq FROM m JOIN span USING (channel_id) WHERE id_num < before AND (CASE WHEN after_inclusive THEN id_num >= after ELSE id_num > after END)")
 def sweep_window(spark, d):
-    span = windows.sweep_span(_segments(spark), "channel_id")  # a row per channel that is swept
-    rows = messages(spark, d).select("seq")
-    return rows.join(F.broadcast(span), windows.in_window(rows.seq, span.after, span.before, span.after_inclusive)).select("channel_id", "seq")
+    span = windows.sweep_span(_segments(spark, d), "channel_id")
+    rows = messages(spark, d).join(span, "channel_id")
+    return rows.where(windows.in_window(rows.id_num, span.after, span.before, span.after_inclusive)).select("channel_id", "seq")
 
 
 @query(f"WITH {M}, {ARCHIVE} SELECT channel_id, part, row_seq, id_num FROM archive")
@@ -121,7 +125,7 @@ def archive_scan(spark, d):
 
 @query(f"WITH {M}, {ARCHIVE} SELECT channel_id, id_num, CAST(row_number() OVER (PARTITION BY channel_id ORDER BY id_num) AS INTEGER) AS position FROM archive")
 def load_sorted(spark, d):
-    rows = archive(spark, d).withColumn("position", F.row_number().over(Window.partitionBy("channel_id").orderBy("id_num")))
+    rows = dedup.numbered(archive(spark, d), "position").withColumn("position", (F.col("position") + 1).cast("int"))
     return rows.select("channel_id", "id_num", "position").orderBy("channel_id", "id_num")
 
 
@@ -192,13 +196,11 @@ def jsonl_log(spark, d):
     return incoming(spark, d).groupBy("channel_id").agg(F.count("*").alias("lines"), F.countDistinct("id").alias("ids"))
 
 
-PATHS = [("out.jsonl", "123", False, "out-123.jsonl"), ("out.jsonl", "123", True, "out.jsonl"), ("x/{channel}/y.json", "9", False, "x/9/y.json"), ("folder", "7", False, "folder/7.jsonl"), ("a.b/c", "5", False, "a.b/c/5.jsonl")]
-
-
-@query("SELECT * FROM (VALUES " + ",".join(f"('{t}','{c}',{str(s).lower()},'{o}')" for t, c, s, o in PATHS) + ") v(template, channel, single, path)")
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'out-' || doc_id || '.jsonl' WHEN 1 THEN 'out.jsonl' WHEN 2 THEN 'x/' || doc_id || '/y.json' WHEN 3 THEN 'folder/' || doc_id || '.jsonl' ELSE 'a.b/c/' || doc_id || '.jsonl' END AS path FROM documents""")
 def jsonl_path(spark, d):
-    df = rows_of(spark, [p[:3] for p in PATHS], "template string, channel string, single boolean")
-    return df.withColumn("path", text.output_path_col(F.col("template"), F.col("channel"), F.col("single")))
+    k = F.col("doc_id") % 5
+    template = F.when(k < 2, "out.jsonl").when(k == 2, "x/{channel}/y.json").when(k == 3, "folder").otherwise("a.b/c")
+    return table(spark, d, "documents").select("doc_id", text.output_path_col(template, F.col("doc_id").cast("string"), k == 1).alias("path"))
 
 
 # Projections
@@ -294,9 +296,10 @@ def ts_to_sf(spark, d):
     return messages(spark, d).select("ms", ids.from_ms(F.col("ms")).alias("first_id"))
 
 
-@query("SELECT doc_id, (CASE WHEN n = '' THEN 'unknown' ELSE n END) || '-' || CASE WHEN doc_id * 37 < 1000000 THEN lpad(CAST(doc_id * 37 AS VARCHAR), 6, '0') ELSE CAST(doc_id * 37 AS VARCHAR) END || '.json' AS name FROM (SELECT doc_id, regexp_replace(substr(text, 1, 12), '[^a-zA-Z0-9-_]', '_', 'g') AS n FROM documents)")
+@query("SELECT doc_id, (CASE WHEN n = '' THEN 'unknown' ELSE n END) || '-' || CASE WHEN doc_id * 37 < 1000000 THEN lpad(CAST(doc_id * 37 AS VARCHAR), 6, '0') ELSE CAST(doc_id * 37 AS VARCHAR) END || '.json' AS name FROM (SELECT doc_id, regexp_replace(source || '/' || lang || '.' || doc_id, '[^a-zA-Z0-9-_]', '_', 'g') AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)")
 def q_chunk_name(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.chunk_name(F.substring("text", 1, 12), F.col("doc_id") * 37).alias("name"))
+    rows = table(spark, d, "documents").where("source IS NOT NULL AND lang IS NOT NULL")
+    return rows.select("doc_id", text.chunk_name(F.concat("source", F.lit("/"), "lang", F.lit("."), "doc_id"), F.col("doc_id") * 37).alias("name"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id * 1000 + 100000 ELSE -1 END AS part FROM documents")
@@ -345,45 +348,80 @@ def json_safe(spark, d):
     return table(spark, d, "events").select("event_id", text.json_or(broken, "$.k", "none").alias("k"))
 
 
-STATE = """{"version":%d,"parallelism":%d,"updatedAt":"t","segments":[{"index":0,"after":"%s","before":"900","afterInclusive":false,"cursor":%s,"done":%s},{"index":1,"after":"900","before":"950","cursor":null,"done":%s}]}"""
-ONE = """{"version":3,"parallelism":1,"segments":[{"index":0,"after":"100","before":"900","done":%s}]}"""
-STATES = [
-    ("c1", "100", None, True, "ok", True, False, None),
-    ("c2", "100", None, False, "unknown-state", False, False, None),
-    ("c3", "", None, True, "no-baseline", False, False, None),
-    ("c4", "100", STATE % (3, 2, "1", "null", "true", "true"), False, "ok", True, False, "2/2 shards done, 0 partial, 0 pending"),
-    ("c5", "100", STATE % (2, 2, "1", '"500"', "false", "false"), True, "pending-shards", False, False, "0/2 shards done, 1 partial, 1 pending"),
-    ("c6", "100", ONE % "false", False, "ok", True, True, "0/1 shards done, 0 partial, 1 pending"),
-    ("c7", "101", ONE % "false", False, "pending-shards", False, False, "0/1 shards done, 0 partial, 1 pending"),
-    ("c8", "100", "{broken", True, "ok", True, False, None),
-    ("c9", "100", STATE % (7, 2, "1", "null", "true", "true"), False, "unknown-state", False, False, None),
-]
-
-
-def _states(spark):
-    df = rows_of(spark, [s[:4] for s in STATES], "channel_id string, baseline string, saved string, archive_complete boolean")
-    return df.withColumn("state", decisions.parse_resume(F.col("saved")))
+#: Saved states by the remainder of a conversation's number: none (0 to 2), all shards done, one partly fetched (version 2), a catch-up of this baseline and of another one, broken text, an unknown version.
+WINDOW = """{"index":%d,"after":"%s","before":"%s","afterInclusive":false,"cursor":%s,"done":%s}"""
+STATES = {
+    3: """{"version":3,"parallelism":2,"updatedAt":"t","segments":[""" + WINDOW % (1, "900", "950", "null", "true") + "," + WINDOW % (0, "1", "900", "null", "true") + "]}",
+    4: """{"version":2,"parallelism":2,"updatedAt":"t","segments":[""" + WINDOW % (0, "1", "900", '"500"', "false") + "," + WINDOW % (1, "900", "950", "null", "false") + "]}",
+    5: """{"version":3,"parallelism":1,"segments":[{"index":0,"after":"@","before":"900","done":false}]}""",
+    6: """{"version":3,"parallelism":1,"segments":[{"index":0,"after":"0@","before":"900","done":false}]}""",
+    7: "{broken",
+    8: """{"version":7,"parallelism":2,"updatedAt":"t","segments":[""" + WINDOW % (0, "1", "900", "null", "true") + "]}",
+}
+STATES_SQL = """states AS (SELECT conv_id, conv_id % 9 AS k, CAST(conv_id AS VARCHAR) AS baseline FROM (SELECT DISTINCT conv_id FROM conversations))"""
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    show = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v + "'"
-    return f"SELECT * FROM (VALUES {','.join('(' + ','.join(map(show, r)) + ')' for r in rows)}) v({names})"
+def _states(spark, d):
+    """A state and a baseline for each conversation."""
+    c = table(spark, d, "conversations").select("conv_id").distinct().withColumn("k", F.col("conv_id") % 9)
+    saved = F.lit(None).cast("string")
+    for k, state in STATES.items():
+        saved = F.when(F.col("k") == k, F.replace(F.lit(state), F.lit("@"), F.col("conv_id").cast("string"))).otherwise(saved)
+    c = c.withColumns({"baseline": F.when(F.col("k") != 2, F.col("conv_id").cast("string")), "saved": saved, "archive_complete": F.col("k").isin(0, 2, 4, 7)})
+    return c.withColumn("state", decisions.parse_resume(F.col("saved")))
 
 
-@query(_values([(s[0], s[7]) for s in STATES], "channel_id, summary"))
+@query(f"WITH {STATES_SQL} SELECT conv_id, CASE k WHEN 3 THEN '2/2 shards done, 0 partial, 0 pending' WHEN 4 THEN '0/2 shards done, 1 partial, 1 pending' WHEN 5 THEN '0/1 shards done, 0 partial, 1 pending' WHEN 6 THEN '0/1 shards done, 0 partial, 1 pending' END AS summary FROM states")
 def q_resume_summary(spark, d):
-    return _states(spark).select("channel_id", decisions.resume_summary(F.col("state.segments")).alias("summary"))
+    return _states(spark, d).select("conv_id", decisions.resume_summary(F.col("state.segments")).alias("summary"))
 
 
-@query(_values([(s[0], s[4], s[5], s[6]) for s in STATES], "channel_id, reason, use, reuse"))
+@query(f"WITH {STATES_SQL} SELECT conv_id, CASE k WHEN 0 THEN 'ok' WHEN 1 THEN 'unknown-state' WHEN 2 THEN 'no-baseline' WHEN 3 THEN 'ok' WHEN 4 THEN 'pending-shards' WHEN 5 THEN 'ok' WHEN 6 THEN 'pending-shards' WHEN 7 THEN 'ok' ELSE 'unknown-state' END AS reason, k IN (0, 3, 5, 7) AS use, k = 5 AS reuse FROM states")
 def q_window_decision(spark, d):
-    return _states(spark).select("channel_id", decisions.window_decision(F.col("baseline"), F.col("state"), F.col("archive_complete")).alias("x")).select("channel_id", "x.reason", "x.use", "x.reuse")
+    return _states(spark, d).select("conv_id", decisions.window_decision(F.col("baseline"), F.col("state"), F.col("archive_complete")).alias("x")).select("conv_id", "x.reason", "x.use", "x.reuse")
 
 
-@query(_values([("c4", 2, "true", "true", "false", "false"), ("c5", 2, "false", "false", "true", "true"), ("c6", 1, "false", "-", "false", "-"), ("c7", 1, "false", "-", "false", "-")], "channel_id, parallelism, done_0, done_1, inclusive_0, inclusive_1"))
+@query(f"""WITH {STATES_SQL} SELECT conv_id, CASE k WHEN 3 THEN 2 WHEN 4 THEN 2 ELSE 1 END AS parallelism,
+    CASE k WHEN 3 THEN 'true,true' WHEN 4 THEN 'false,false' ELSE 'false' END AS done, CASE k WHEN 3 THEN 'false,false' WHEN 4 THEN 'true,true' ELSE 'false' END AS inclusive FROM states WHERE k BETWEEN 3 AND 6""")
 def resume_parse(spark, d):
-    seg = lambda k, f: F.coalesce(F.get(F.col("state.segments"), F.lit(k))[f].cast("string"), F.lit("-"))
-    return _states(spark).where("state IS NOT NULL").select("channel_id", "state.parallelism", seg(0, "done").alias("done_0"), seg(1, "done").alias("done_1"), seg(0, "afterInclusive").alias("inclusive_0"), seg(1, "afterInclusive").alias("inclusive_1"))
+    each = lambda f: F.array_join(F.transform("state.segments", lambda s: s[f].cast("string")), ",")
+    return _states(spark, d).where("state IS NOT NULL").select("conv_id", "state.parallelism", each("done").alias("done"), each("afterInclusive").alias("inclusive"))
+
+
+def _windows_text(state: Column) -> Column:
+    return F.array_join(F.transform(state.segments, lambda s: F.concat_ws("|", s.index.cast("string"), s.after, s.before, F.coalesce(s.cursor, F.lit("-")), s.done.cast("string"))), ",")
+
+
+@query(f"""WITH {STATES_SQL} SELECT conv_id, k IN (3, 4) AS reused, CASE k WHEN 3 THEN '0|1|900|-|true,1|900|950|-|true' WHEN 4 THEN '0|1|900|500|false,1|900|950|-|false'
+    ELSE '0|' || baseline || '|' || (conv_id + 10) || '|-|false,1|' || (conv_id + 10) || '|' || (conv_id + 20) || '|-|false' END AS windows FROM (SELECT conv_id, k, CAST(conv_id AS VARCHAR) AS baseline FROM states)""")
+def resolve_segments(spark, d):
+    """Saved windows are resumed where their number is the one asked for, in order; else fresh ones are taken."""
+    at = lambda n: (F.col("conv_id") + n).cast("string")
+    fresh = F.array(*[F.struct(at(a).alias("after"), at(a + 10).alias("before"), F.lit(True).alias("afterInclusive")) for a in (0, 10)])
+    state = decisions.resolve_segments(F.col("state"), F.lit(2), fresh, F.lit("t"))
+    return _states(spark, d).select("conv_id", decisions.has_reusable_windows(F.col("state"), F.lit(2)).alias("reused"), state.alias("r")).select("conv_id", "reused", _windows_text(F.col("r")).alias("windows"))
+
+
+@query(f"""WITH {STATES_SQL} SELECT conv_id, CASE k WHEN 3 THEN '1|900|950|-|true,0|1|900|77|true' WHEN 4 THEN '0|1|900|77|false,1|900|950|-|true' ELSE '0|' || (CASE k WHEN 6 THEN '0' ELSE '' END) || baseline || '|900|77|false,1|||-|true' END AS windows, CASE k WHEN 3 THEN 0 ELSE 1 END AS pending FROM states WHERE k BETWEEN 3 AND 6""")
+def segment_cursors(spark, d):
+    """A cursor is set in the first shard and the second is marked done; a shard that is missing is added."""
+    state = decisions.mark_done(decisions.set_cursor(F.col("state"), 0, F.lit("77"), F.lit("t1")), 1, F.lit("t2"))
+    rows = _states(spark, d).where("state IS NOT NULL").select("conv_id", state.alias("s"))
+    return rows.select("conv_id", _windows_text(F.col("s")).alias("windows"), decisions.pending_count(F.col("s.segments")).alias("pending"))
+
+
+def _short(x: str) -> str:
+    return f"CASE WHEN {x} >= 1000000 THEN printf('%.1f', {x} / 1000000::DOUBLE) || 'M' WHEN {x} >= 1000 THEN printf('%.1f', {x} / 1000::DOUBLE) || 'K' ELSE CAST({x} AS VARCHAR) END"
+
+
+@query(f"""WITH c AS (SELECT conv_id, conv_id % 4 AS k, count(*) * 100 AS low, count(*) * 100 + 5000 AS high FROM conversations GROUP BY conv_id)
+    SELECT conv_id, CASE WHEN k = 1 THEN 'equal-time (no density estimate)' WHEN k = 2 THEN 'density (no density estimate)' WHEN k = 3 THEN 'density, 2 shards, ~' || ({_short("low")}) || '-' || ({_short("high")}) || ' msgs/shard, imbalance 12%, 21 probes' END AS line FROM c""")
+def balance_summary(spark, d):
+    c = table(spark, d, "conversations").groupBy("conv_id").agg((F.count("*") * 100).cast("double").alias("low")).withColumn("k", F.col("conv_id") % 4)
+    low, high = F.col("low"), F.col("low") + 5000
+    loads = F.when(F.col("k") == 3, F.array(low, high))
+    balance = F.when(F.col("k") > 0, F.struct(F.when(F.col("k") == 1, "equal-time").otherwise("density").alias("strategy"), F.lit(0.12).alias("imbalance"), loads.alias("loads"), low.alias("minLoad"), high.alias("maxLoad"), F.lit(21).alias("probes"), F.lit("t").alias("measuredAt")))
+    return c.withColumn("balance", balance).select("conv_id", decisions.describe_balance(F.col("balance")).alias("line"))
 
 
 # Filters and look-ups
@@ -440,37 +478,35 @@ def channel_names(spark, d):
     return c.select("channel_id", F.coalesce("name", "channel_id").alias("name"), F.coalesce("guild", F.lit("")).alias("guild"), "n")
 
 
-PLAN = [("a", False, "done", "10", False, "due"), ("b", False, "done", None, False, "no-baseline"), ("c", True, "live", "5", False, "live"), ("d", False, "extracting", "5", False, "in-progress"), ("e", False, "error", "", True, "due"), ("f", True, "extracting", "", True, "live")]
+def _conversations(spark, d):
+    return table(spark, d, "conversations").select("conv_id").distinct()
 
 
-@query(_values([(p[0], p[5]) for p in PLAN], "channel_id, plan"))
+@query("SELECT conv_id, CASE WHEN conv_id % 4 = 0 THEN 'live' WHEN conv_id % 3 = 0 THEN 'in-progress' WHEN conv_id % 5 > 1 OR conv_id % 7 = 0 THEN 'due' ELSE 'no-baseline' END AS plan FROM (SELECT DISTINCT conv_id FROM conversations)")
 def q_catchup_plan(spark, d):
-    df = rows_of(spark, [p[:5] for p in PLAN], "channel_id string, active boolean, status string, newest string, include_new boolean")
-    return df.select("channel_id", decisions.catchup_plan(F.col("active"), F.col("status"), F.col("newest"), F.col("include_new")).alias("plan"))
+    c = F.col("conv_id")
+    status = F.when(c % 3 == 0, "extracting").when(c % 3 == 1, "done").otherwise("error")
+    newest = F.when(c % 5 == 1, "").when(c % 5 > 1, c.cast("string"))
+    return _conversations(spark, d).select(c, decisions.catchup_plan(c % 4 == 0, status, newest, c % 7 == 0).alias("plan"))
 
 
-AUTO = [(f"{i}", f, n, e, s, c, b, (not f) and (not n) and e and s == "done" and bool(c) and bool(b)) for i, (f, n, e, s, c, b) in enumerate([(False, False, True, "done", "t", "1"), (True, False, True, "done", "t", "1"), (False, True, True, "done", "t", "1"), (False, False, False, "done", "t", "1"), (False, False, True, "error", "t", "1"), (False, False, True, "done", None, "1"), (False, False, True, "done", "t", None)])]
-
-
-@query(_values([(a[0], a[7]) for a in AUTO], "k, auto"))
+@query("SELECT conv_id, (conv_id & 63) = 0 AS auto FROM (SELECT DISTINCT conv_id FROM conversations)")
 def q_auto_incremental(spark, d):
-    df = rows_of(spark, [a[:7] for a in AUTO], "k string, full boolean, incremental boolean, enabled boolean, status string, completed_at string, baseline string")
-    return df.select("k", decisions.auto_incremental(*[F.col(c) for c in df.columns[1:]]).alias("auto"))
+    c, on = F.col("conv_id"), lambda bit: F.col("conv_id").bitwiseAND(F.lit(bit)) > 0
+    return _conversations(spark, d).select(c, decisions.auto_incremental(on(1), on(2), ~on(4), F.when(on(8), "error").otherwise("done"), F.when(~on(16), F.lit("t")), F.when(on(32), "").otherwise("1")).alias("auto"))
 
 
-@query(_values([("1", "done"), ("2", "error"), ("3", "error"), ("4", "error")], "k, status"))
+@query("SELECT conv_id, CASE WHEN conv_id % 5 <> 0 AND conv_id % 3 = 0 AND conv_id % 2 = 0 THEN 'done' ELSE 'error' END AS status FROM (SELECT DISTINCT conv_id FROM conversations)")
 def q_final_status(spark, d):
-    df = rows_of(spark, [("1", False, 0, True), ("2", True, 0, True), ("3", False, 1, True), ("4", False, 0, False)], "k string, aborted boolean, failed int, done boolean")
-    return df.select("k", decisions.final_status(F.col("aborted"), F.col("failed"), F.col("done")).alias("status"))
-
+    c = F.col("conv_id")
+    return _conversations(spark, d).select(c, decisions.final_status(c % 5 == 0, c % 3, c % 2 == 0).alias("status"))
 
-CODES = [(429, "rate_limit", True), (401, "auth", False), (403, "auth", False), (404, "not_found", False), (408, "server", True), (425, "server", True), (500, "server", True), (418, "client", False), (200, "unknown", False)]
 
-
-@query(_values(CODES, "code, kind, retryable"))
+@query("""SELECT page_id, code, CASE WHEN code = 429 THEN 'rate_limit' WHEN code IN (401, 403) THEN 'auth' WHEN code = 404 THEN 'not_found' WHEN code IN (408, 425) OR code >= 500 THEN 'server' WHEN code >= 400 THEN 'client' ELSE 'unknown' END AS kind,
+    code IN (408, 425, 429) OR code >= 500 AS retryable FROM (SELECT page_id, 200 + page_id * 7 % 400 AS code FROM pages)""")
 def q_classify_status(spark, d):
-    df = rows_of(spark, [c[:1] for c in CODES], "code int")
-    return df.select("code", decisions.classify_status(F.col("code")).alias("x")).select("code", "x.*")
+    pages = table(spark, d, "pages").select("page_id", (200 + F.col("page_id") * 7 % 400).alias("code"))
+    return pages.select("page_id", "code", decisions.classify_status(F.col("code")).alias("x")).select("page_id", "code", "x.*")
 
 
 @query(f"""WITH {M}, {ARCHIVE}, {PROGRESS}, totals AS (SELECT channel_id, count(*) AS archived, max(part) AS parts, min(id_num) AS first_id FROM archive GROUP BY channel_id)
@@ -607,21 +643,20 @@ def q_equal_shards(spark, d):
     return shards.equal_shards(channels(spark, d), NOW, 6).select("channel_id", "shard", "after", "before")
 
 
-COUNTS = [(1, None, 4), (6, None, 18), (6, 5.0, 5), (6, 10000.0, 36), (6, 0.0, 18), (12, 0.4, 1)]
-
-
-@query(_values(COUNTS, "parallelism, override, probes").replace("SELECT *", "SELECT parallelism, CAST(override AS DOUBLE) AS override, probes"))
+@query("""SELECT doc_id, CAST(CASE WHEN o > 0 THEN greatest(1, least(floor(o + 0.5), 36)) ELSE least(greatest(4, 3 * p), 36) END AS INTEGER) AS probes
+    FROM (SELECT doc_id, doc_id % 14 AS p, CASE WHEN doc_id % 4 > 0 THEN doc_id % 83 * 0.5::DOUBLE END AS o FROM documents)""")
 def q_probe_count(spark, d):
-    df = rows_of(spark, [c[:2] for c in COUNTS], "parallelism int, override double")
-    return df.withColumn("probes", shards.probe_count(F.col("parallelism"), F.col("override")))
-
-
-IDS = [("a", 0, "9", 2), ("a", 1, "10", 3), ("a", 2, "100", 4), ("a", 3, "2", 1), ("b", 0, "20", 1), ("b", 1, "not-an-id", 3), ("b", 2, "3", 2)]
+    override = F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 83 * 0.5)
+    return table(spark, d, "documents").select("doc_id", shards.probe_count((F.col("doc_id") % 14).cast("int"), override).alias("probes"))
 
 
-@query(_values([(b, i, p) for b, _, i, p in IDS], "batch, id, position"))
+@query(f"""WITH {M}, b AS (SELECT user_id AS batch, seq, CASE WHEN user_id % 3 = 0 AND seq % 40 = 0 THEN 'x' || seq ELSE CAST(seq * 7919 % 100003 AS VARCHAR) END AS id FROM m),
+    o AS (SELECT *, bool_or(id LIKE 'x%') OVER (PARTITION BY batch) AS odd FROM b)
+    SELECT batch, seq, CAST(row_number() OVER (PARTITION BY batch ORDER BY CASE WHEN NOT odd THEN CAST(id AS BIGINT) END, CASE WHEN odd THEN id END, seq) AS INTEGER) AS position FROM o""".replace("CAST(id AS BIGINT)", "TRY_CAST(id AS BIGINT)"))
 def sort_ids(spark, d):
-    return ids.order_position(rows_of(spark, [x[:3] for x in IDS], "batch string, seq int, id string"), ["batch"], "seq").select("batch", "id", "position")
+    """Ids of a batch in numeric order, but as text where one of them is no number."""
+    rows = messages(spark, d).select(F.col("user_id").alias("batch"), "seq", F.when((F.col("user_id") % 3 == 0) & (F.col("seq") % 40 == 0), F.concat(F.lit("x"), "seq")).otherwise((F.col("seq") * 7919 % 100003).cast("string")).alias("id"))
+    return ids.order_position(rows, ["batch"], "seq").select("batch", "seq", "position")
 
 
 @query(f"WITH {M} SELECT user_id AS session_id, max(ms) AS started_ms, count(*) AS n FROM m GROUP BY user_id ORDER BY started_ms DESC, session_id LIMIT 10")
@@ -681,15 +716,26 @@ def upsert_latest(spark, d):
     return progress.latest(messages(spark, d).select("user_id", "channel_id", "seq"), ["user_id"], "seq")
 
 
-OLD = [("a", "pending", None, None, 0, "t0"), ("b", "extracting", "t0", None, 5, "t0"), ("c", "done", "t0", "t0", 9, "t0")]
-UPDATES = [("a", "extracting", None), ("b", "done", 7), ("d", "error", 1)]
-UPDATED = [("a", "extracting", "t1", None, 0, "t1"), ("b", "done", "t0", "t1", 7, "t1"), ("c", "done", "t0", "t0", 9, "t0"), ("d", "error", None, "t1", 1, "t1")]
+@query(f"""WITH {M}, u AS (SELECT user_id, count(*) AS n, max(seq) AS last FROM m GROUP BY user_id),
+    old AS (SELECT CAST(user_id AS VARCHAR) AS channel_id, CASE user_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'extracting' WHEN 2 THEN 'done' ELSE 'error' END AS status, CASE WHEN user_id % 4 > 0 THEN 't0' END AS started_at, CASE WHEN user_id % 4 > 1 THEN 't0' END AS completed_at, n AS total_extracted, 't0' AS updated_at FROM u WHERE user_id % 3 <> 0),
+    new AS (SELECT CAST(user_id AS VARCHAR) AS channel_id, CASE user_id % 5 WHEN 0 THEN 'extracting' WHEN 1 THEN 'done' WHEN 2 THEN 'error' END AS s, CASE WHEN user_id % 7 > 0 THEN last END AS t FROM u WHERE user_id % 2 = 0)
+    SELECT coalesce(o.channel_id, n.channel_id) AS channel_id, coalesce(s, status, 'pending') AS status, CASE WHEN s = 'extracting' THEN coalesce(started_at, 't1') ELSE started_at END AS started_at,
+           CASE WHEN s IN ('done', 'error') THEN 't1' ELSE completed_at END AS completed_at, coalesce(t, total_extracted, 0) AS total_extracted, CASE WHEN n.channel_id IS NOT NULL THEN 't1' ELSE updated_at END AS updated_at
+    FROM old o FULL JOIN new n ON o.channel_id = n.channel_id""")
+def progress_update(spark, d):
+    u = messages(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+    k, name = F.col("user_id"), F.col("user_id").cast("string").alias("channel_id")
+    old = u.where(k % 3 != 0).select(name, F.when(k % 4 == 0, "pending").when(k % 4 == 1, "extracting").when(k % 4 == 2, "done").otherwise("error").alias("status"), F.when(k % 4 > 0, F.lit("t0")).alias("started_at"), F.when(k % 4 > 1, F.lit("t0")).alias("completed_at"), F.col("n").alias("total_extracted"), F.lit("t0").alias("updated_at"))
+    new = u.where(k % 2 == 0).select(name, F.when(k % 5 == 0, "extracting").when(k % 5 == 1, "done").when(k % 5 == 2, "error").alias("status"), F.when(k % 7 > 0, F.col("last")).alias("total_extracted"))
+    return progress.update(old, new, F.lit("t1"))
 
 
-@query(_values(UPDATED, "channel_id, status, started_at, completed_at, total_extracted, updated_at").replace("SELECT *", "SELECT channel_id, status, started_at, completed_at, total_extracted::BIGINT AS total_extracted, updated_at"))
-def progress_update(spark, d):
-    old = rows_of(spark, OLD, "channel_id string, status string, started_at string, completed_at string, total_extracted bigint, updated_at string")
-    return progress.update(old, rows_of(spark, UPDATES, "channel_id string, status string, total_extracted bigint"), F.lit("t1"))
+@query(f"WITH {M}, c AS (SELECT user_id AS channel_id, count(*) AS n, max(seq) AS last FROM m GROUP BY user_id) SELECT channel_id, CASE WHEN channel_id % 3 = 0 THEN 'new' ELSE 'old' END AS name, CASE WHEN channel_id % 3 = 0 THEN last ELSE n END AS mark FROM c WHERE channel_id % 2 = 0 OR channel_id % 3 = 0")
+def channel_upsert(spark, d):
+    """Channels of even numbers, and then those that 3 divides in place of what was there."""
+    c = messages(spark, d).groupBy(F.col("user_id").alias("channel_id")).agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+    old = c.where("channel_id % 2 = 0").select("channel_id", F.lit("old").alias("name"), F.col("n").alias("mark"))
+    return progress.upsert(old, c.where("channel_id % 3 = 0").select("channel_id", F.lit("new").alias("name"), F.col("last").alias("mark")), ["channel_id"])
 
 
 # Archives on disk, streams, views
@@ -713,55 +759,87 @@ def storage_stats(spark, d):
     return a.totals().select("channel_id", "messages", "parts").join(ids_, "channel_id")
 
 
-@query(f"WITH {M} SELECT channel_id, count(*) AS messages FROM m WHERE ms < {CUT} OR ms >= {FROM} GROUP BY channel_id")
+ON_DISK = f"""whole AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY id_num) AS rn FROM m WHERE ms < {CUT} OR ms >= {FROM}),
+stored AS (SELECT channel_id, CAST(id_num AS VARCHAR) AS id, id_num, props AS content, CAST((rn - 1) // {CHUNK} + 1 AS INTEGER) AS part, CAST((rn - 1) % {CHUNK} AS INTEGER) AS row_seq FROM whole)"""
+
+
+@query(f"WITH {M}, {ON_DISK}, p AS (SELECT channel_id, part, count(*) AS messages, min(id_num) AS min_id, max(id_num) AS max_id FROM stored GROUP BY channel_id, part) SELECT channel_id, part, messages, min_id, max_id, messages < {CHUNK} AND part = max(part) OVER (PARTITION BY channel_id) AS open FROM p")
 def rebuild_manifest(spark, d):
+    """The manifest is lost; the next read makes it again from the files, the last part still open."""
     a = _on_disk(spark, d)
     a.forget_manifest()
-    return a.rebuild().totals().select("channel_id", "messages")
+    return a.meta().groupBy("channel_id", "part").agg(F.sum("messages").alias("messages"), F.min("min_id").cast("bigint").alias("min_id"), F.max("max_id").cast("bigint").alias("max_id"), F.bool_or("open").alias("open"))
 
 
-@query(f"WITH {M} SELECT channel_id, count(*) AS messages FROM m WHERE (ms < {CUT} OR ms >= {FROM}) GROUP BY channel_id")
+@query(f"WITH {M}, {ON_DISK} SELECT channel_id, part, row_seq, id, content FROM stored")
 def compact(spark, d):
     a = _on_disk(spark, d)
     a.finalize()
-    return a.read().groupBy("channel_id").agg(F.count("*").alias("messages"))
+    return a.read().select("channel_id", "part", "row_seq", "id", "content")
 
 
-@query(f"WITH {M} SELECT channel_id, count(*) AS messages FROM m WHERE (ms < {CUT} OR ms >= {FROM}) AND channel_id <> 'view' GROUP BY channel_id")
+@query(f"WITH {M}, {ON_DISK} SELECT channel_id, part, row_seq, id FROM stored WHERE channel_id <> 'view'")
 def reset(spark, d):
     a = _on_disk(spark, d)
     a.reset("view")
-    return a.read().groupBy("channel_id").agg(F.count("*").alias("messages"))
+    return a.read().select("channel_id", "part", "row_seq", "id")
+
 
+@query(f"WITH {M}, {ON_DISK} SELECT channel_id, part, row_seq, id FROM stored WHERE channel_id = 'view' AND id_num BETWEEN {LOW} AND {HIGH}")
+def archive_range(spark, d):
+    """One channel's ids between bounds: only the parts that can hold them are read."""
+    return _on_disk(spark, d).read("view", LOW, HIGH).select("channel_id", "part", "row_seq", "id")
 
-@query(f"WITH {M} SELECT count(*) AS rows, count(DISTINCT id_num) AS ids FROM m WHERE ms < {CUT} OR ms >= {FROM}")
+
+@query(f"WITH {M}, {ON_DISK} SELECT channel_id, count(*) AS messages, max(part) AS parts, channel_id = 'view' AS complete FROM stored GROUP BY channel_id")
+def mark_complete(spark, d):
+    a = _on_disk(spark, d)
+    a.complete("view")
+    return a.totals().select("channel_id", "messages", "parts", F.col("completed_at").isNotNull().alias("complete"))
+
+
+@query(f"WITH {M}, {ON_DISK} SELECT id, content FROM stored")
 def dump_json(spark, d):
     from .sources import jsonfiles
 
     a = _on_disk(spark, d)
     path = f"{a.root}/dump"
     jsonfiles.dump(a.read(), path)
-    return jsonfiles.read_dump(spark, path).agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids"))
+    return jsonfiles.read_dump(spark, path).select("id", "content")
 
 
-@query(f"WITH {M}, {ARCHIVE} SELECT channel_id, part, count(*) AS messages FROM archive GROUP BY channel_id, part")
+@query(f"WITH {M}, {ARCHIVE} SELECT channel_id, part, row_seq, CAST(id_num AS VARCHAR) AS id, props AS content FROM archive")
 def read_sealed(spark, d):
     from .sources import jsonfiles
     from .sources.archive import scratch
 
     root = scratch(spark)
     jsonfiles.write_sealed(archive(spark, d).select("channel_id", "part", "row_seq", "id", F.col("props").alias("content")), root)
-    return jsonfiles.read_parts(spark, root).where("layout = 'sealed'").groupBy("channel_id", "part").agg(F.count("*").alias("messages"))
+    return jsonfiles.read_parts(spark, root).where("layout = 'sealed'").select("channel_id", "part", "row_seq", "row.id", "row.content")
 
 
-@query(f"WITH {M}, {ARCHIVE} SELECT channel_id, part, count(*) AS messages FROM archive GROUP BY channel_id, part")
+@query(f"WITH {M}, {ARCHIVE} SELECT channel_id, part, row_seq, CAST(id_num AS VARCHAR) AS id, props AS content FROM archive")
 def read_open(spark, d):
     from .sources import jsonfiles
     from .sources.archive import scratch
 
     root = scratch(spark)
     jsonfiles.write_open(archive(spark, d).select("channel_id", "part", "row_seq", "id", F.col("props").alias("content")), root)
-    return jsonfiles.read_parts(spark, root).where("layout = 'open'").groupBy("channel_id", "part").agg(F.count("*").alias("messages"))
+    return jsonfiles.read_parts(spark, root).where("layout = 'open'").select("channel_id", "part", "row_seq", "row.id", "row.content")
+
+
+@query(f"WITH {RAW} SELECT 'c' || (page_id % 5) AS channel_id, id, {DETAILS} AS details, {IMAGES} AS images FROM raw")
+def read_details(spark, d):
+    """Attachments' details and addresses of images survive a sealed part."""
+    from .sources import jsonfiles
+    from .sources.archive import scratch
+
+    root = scratch(spark)
+    rows = normalize.to_rows(raw_messages(spark, d), "channel_id").withColumn("id_num", F.col("id").cast("decimal(20,0)"))
+    none = spark.createDataFrame([], "channel_id string, part int, rows bigint")
+    jsonfiles.write_sealed(dedup.deal_parts(rows, none, CHUNK), root)
+    back = jsonfiles.read_parts(spark, root)
+    return back.select("channel_id", "row.id", _details(F.coalesce("row.attachmentsDetailed", F.array().cast(back.schema["row"].dataType["attachmentsDetailed"].dataType))).alias("details"), F.array_join("row.imageUrls", ",").alias("images"))
 
 
 @query(f"WITH {M} SELECT channel_id, count(DISTINCT id_num) AS captured FROM m WHERE channel_id <> 'click' AND (channel_id <> 'view' OR id_num > {LOW}) GROUP BY channel_id")
