@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -77,6 +78,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has fewer partitions than these: a small table, or one in few files. Rows lose their order."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def send_file(spark: SparkSession, path: str) -> str:
+    """Gives the executors a file of the driver's; its name for received()."""
+    spark.sparkContext.addFile(path)
+    return Path(path).name
+
+
+def received(name: str) -> str:
+    """The executor's own path of a file sent by send_file()."""
+    return SparkFiles.get(name)
+
+
 def has(df: DataFrame, name: str) -> bool:
     return name in df.columns
 

@@ -13,6 +13,7 @@ import heapq
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bytes_of, column, store
+from .common import arrow_map, bytes_of, column, received, send_file, store
 
 CAPACITY = 2048
 END_ID = 1
@@ -30,6 +31,13 @@ END_ID = 1
 BLOCK_TOKENS = 1 << 18
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 1_200_000
+#: How the tokenizer's file splits words in lower case, of printable ASCII and of the letters from U+00DF to U+017F.
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u017f"
+SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
+#: Words of these characters have no other normal form than themselves in lower case.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
+#: Characters that stand for bytes in byte-level models; other bytes are themselves.
+BYTES = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
 #: A rest of at least LONG ids is cut once more, so that differencing has small pieces to level windows with: the tail has TAIL[0] to TAIL[0] + TAIL[1] - 1 ids.
 LONG, TAIL = 256, (32, 96)
 
@@ -43,56 +51,56 @@ def tokenizer(path: str):
     return t
 
 
+class Memory(dict):
+    """Ids of words or parts of words, little-endian, made when one comes up first; CACHE_WORDS are remembered."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = ids = self.encode(word)
+        return ids
+
+
 class Encoder:
     """ids(UTF-8 text) for a tokenizer.
 
-    Where its file says that white space only separates (a Split whose matches never hold white space), words are
-    encoded apart and remembered: new ones together, told apart by a sign that is a word of its own. Other tokenizers
-    get whole texts.
+    Where its file says that white space only separates (a Split whose matches never hold white space), words are encoded
+    apart and remembered. Where besides the file is of the kind that SPLIT describes, PLAIN words, which its normalizer only
+    lowers, are split here and their parts, remembered too, go straight to the file's merges. Other words go through the
+    whole tokenizer, and so do the whole texts of other tokenizers.
     """
 
-    MARK = "\x01"
-
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
-        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
-        self.by_word = _words_stand_alone(rules) and len(mark) == 1
-        self.mark = mark[0] if mark else 0
-        self.known: dict[bytes, bytes] = {}
+        self.by_word = _words_stand_alone(rules)
+        self.plain = self.by_word and _parts_stand_alone(rules)
+        self.words, self.parts = Memory(self._word), Memory(self._part)
 
-    def _encode(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        plain = []
-        for w in words:
-            if b"\x01" in w:
-                self.known[w] = self._encode(w.decode("utf-8", "replace"))
-            else:
-                plain.append(w)
-        for at in range(0, len(plain), 5000):
-            some = plain[at : at + 5000]
-            ids = self._encode(f" {self.MARK} ".join([w.decode("utf-8", "replace") for w in some]))
-            ends = [*(4 * np.flatnonzero(np.frombuffer(ids, "<u4") == self.mark)).tolist(), len(ids)]
-            begin = 0
-            for w, end in zip(some, ends, strict=True):
-                self.known[w] = ids[begin:end]
-                begin = end + 4
+    def _word(self, word: bytes) -> bytes:
+        if self.plain and (low := word.lower()).isalpha():  # ASCII letters alone
+            return self.parts[low.decode()]
+        text = word.decode("utf-8", "replace")
+        if self.plain and PLAIN.fullmatch(text):
+            return b"".join(map(self.parts.__getitem__, SPLIT.findall(text.lower())))
+        return self._whole(text)
+
+    def _part(self, part: str) -> bytes:
+        own = part if part.isascii() else part.encode().decode("latin-1").translate(BYTES)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(own)]).tobytes()
 
     def ids(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not self.by_word:
-            return self._encode(text.decode("utf-8", "replace"))
-        words = text.split()
-        new = {w for w in words if w not in self.known}
-        if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = set(words)
-            self.learn(new)
-        return b"".join(map(self.known.__getitem__, words))
+            return self._whole(text.decode("utf-8", "replace"))
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -105,6 +113,14 @@ def encoder_of(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _parts_stand_alone(rules: dict) -> bool:
+    """True if the Split's pattern is SPLIT with classes for all of Unicode, and its matches, as bytes, go to a BPE model."""
+    steps = rules["pre_tokenizer"]["pretokenizers"]
+    byte_level = len(steps) == 2 and steps[1] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": steps[1].get("trim_offsets"), "use_regex": False}
+    pattern = SPLIT.pattern.replace(LETTERS, r"\p{L}").replace("0-9]+", r"\p{N}]+").replace("[0-9]", r"[\p{N}]")
+    return byte_level and steps[0]["pattern"]["Regex"] == pattern and rules["model"]["type"] == "BPE" and rules.get("post_processor") is None
+
+
 def _words_stand_alone(rules: dict) -> bool:
     """True for: NFC, runs of white space to one space, lower case; then a Split that keeps only matches without white space."""
     steps = [n.get("type") for n in (rules.get("normalizer") or {}).get("normalizers", [])]
@@ -165,8 +181,10 @@ def windows(sizes: list[int], capacity: int) -> list[int]:
 def pieces(df: DataFrame, id_col: str, text_col: str, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens): whole runs of `capacity` ids, and the rest in one or two pieces."""
 
+    name = send_file(df.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(path), end_id.to_bytes(4, "little")
+        encoder, end = encoder_of(received(name)), end_id.to_bytes(4, "little")
         for b in batches:
             ids, texts = column(b, "id"), column(b, "text")
             rows: list[tuple] = []
