@@ -4,22 +4,25 @@ Every row is a point: its size, its place among ids, and the places that hashing
 rows are split along its widest dimension (largest range as a share of that dimension's whole range) at the weighted median,
 or at m/n of the weight where n leaves are to come of it. A point's place along a dimension is one 62-bit number: the
 value in the upper 31 bits and a hash of the row below, so that a source with a third of all rows, or equal rows, can be
-cut anywhere. Medians are found by counting: bytes are added up per node and bin, the bin that holds the median is
-counted again more finely, until its bytes no longer matter or it is one place. A count has BINS rows per node at most,
-whatever the input, and no rows are sorted.
+cut anywhere. Medians are found by counting: bytes are added up per node and bin of the node's own range, the bin that holds the
+median is counted again more finely, until its bytes no longer matter or it holds one row or is one place. All nodes of a level are split at once:
+each level's nodes are a table (what they weigh, where they are cut) that the rows are joined with, so neither plans nor the driver grow
+with the leaves. A count has BINS rows per node at most, whatever the input, and no rows are sorted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, has, store
 
-#: Bins of one count of a node, as bits.
-BIN_BITS = 11
+#: Bins of one count of a node, and of a level's few nodes together.
+BINS, BINS_OF_LEVEL = 2048, 1 << 17
+#: Nodes whose table (some 100 bytes each) is broadcast at most; more are joined.
+BROADCAST_NODES = 200_000
 #: A split may miss its weight by this share of the target bytes of a leaf.
 TOLERANCE = 2e-4
 #: Width of a place along a dimension, and of its value.
@@ -41,60 +44,61 @@ def _hashed(value: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.coalesce(value.cast("string"), F.lit(""))), 64 - VALUE_BITS)
 
 
-def _choose(node: Column, by_node: dict[int, Callable[[], Column]], other: Column) -> Column:
-    out = None
-    for n, f in by_node.items():
-        out = (F.when if out is None else out.when)(node == n, f())
-    return other if out is None else out.otherwise(other)
+def _few(nodes: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(nodes) if count <= BROADCAST_NODES else nodes
+
+
+def _cuts(rows: DataFrame, state: DataFrame, count: int, allowed: float) -> DataFrame:
+    """(node, axis, half, cut) for each node of state(node, half, axis, low, high, below, want): rows(node, place, weight) from `cut` on go right.
+
+    low to high is where the cut lies, below the weight before it.
+    """
+    steps, bins = [], max(BINS, BINS_OF_LEVEL // count)
+    while True:
+        here = rows.join(_few(state, count), "node").where("place BETWEEN low AND high")
+        here = here.withColumns({"step": F.expr(f"(high - low) div {bins} + 1")}).withColumn("bin", F.expr("(place - low) div step"))
+        counts = here.groupBy("node", "bin").agg(F.sum("weight").alias("w"), F.count("*").alias("rows"), *[F.any_value(c).alias(c) for c in ("half", "axis", "low", "high", "below", "want", "step")])
+        so_far = F.sum("w").over(Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        counts = counts.withColumn("upto", F.col("below") + so_far).where("upto >= want")
+        hit = counts.groupBy("node").agg(F.min(F.struct("bin", "w", "rows", "upto", "half", "axis", "low", "high", "want", "step")).alias("x")).select("node", "x.*")
+        start = F.col("low") + F.col("bin") * F.col("step")
+        end = F.least(F.col("high"), start + F.col("step") - 1)
+        cut = F.when(F.col("upto") - F.col("want") <= F.col("want") - (F.col("upto") - F.col("w")), end + 1).otherwise(start)
+        done = (F.col("step") == 1) | (F.col("rows") == 1) | (F.col("w") <= allowed)
+        hit = store(hit.select("node", "half", "axis", start.alias("low"), end.alias("high"), (F.col("upto") - F.col("w")).alias("below"), "want", F.when(done, cut).alias("cut")), "sharding-state")
+        steps.append(hit)
+        state = hit.where("cut IS NULL").drop("cut")
+        if state.isEmpty():
+            found = store(reduce(DataFrame.unionByName, [h.where("cut IS NOT NULL").select("node", "axis", "half", "cut") for h in steps]), "sharding-cuts")
+            discard(*steps)
+            return found
 
 
 def with_leaves(points: DataFrame, weight: str, dims: list[str], leaves: int) -> DataFrame:
     """points with `leaf`, from 0 to leaves-1: near-equal sums of weight. points' rows should be stored: they are scanned again and again."""
-    total = points.agg(F.sum(weight)).first()[0] or 0
-    allowed = TOLERANCE * total / leaves
-    extents = [f(d).alias(f"{k}_{d}") for d in dims for k, f in (("low", F.min), ("high", F.max))]
-    whole = points.agg(*extents).first()
-    range_of = {d: max(1, (whole[f"high_{d}"] or 0) - (whole[f"low_{d}"] or 0)) for d in dims}
-    #: node -> (first leaf, leaves); a node's number is its first leaf.
-    open_nodes, node = {0: leaves}, F.lit(0)
-    while any(n > 1 for n in open_nodes.values()):
-        active = {k: n for k, n in open_nodes.items() if n > 1}
-        here = points.withColumn("node", node).where(F.col("node").isin(list(active)))
-        found = {r.node: r for r in here.groupBy("node").agg(F.sum(weight).alias("w"), *extents).collect()}
-        axis = {k: max(dims, key=lambda d, k=k: ((found[k][f"high_{d}"] - found[k][f"low_{d}"]) / range_of[d]) if k in found else 0) for k in active}
-        place = _choose(F.col("node"), {k: (lambda d=axis[k]: F.col(d)) for k in active}, F.lit(0))
-        here = here.select("node", weight, place.alias("place"))
-        # low: weight below `at`; the cut lies in the 2^bits places from `at`.
-        state = {k: {"at": 0, "bits": PLACE_BITS, "low": 0, "want": (found[k].w if k in found else 0) * (active[k] // 2) / active[k], "cut": None} for k in active}
-        while any(s["cut"] is None for s in state.values()):
-            pending = {k: s for k, s in state.items() if s["cut"] is None}
-            in_range = _choose(F.col("node"), {k: (lambda s=s: F.shiftright(F.col("place"), s["bits"]) == (s["at"] >> s["bits"])) for k, s in pending.items()}, F.lit(False))
-            step = {k: max(0, s["bits"] - BIN_BITS) for k, s in pending.items()}
-            binned = _choose(F.col("node"), {k: (lambda k=k: F.shiftright(F.col("place"), step[k])) for k in pending}, F.lit(0))
-            counts: dict[int, list] = {k: [] for k in pending}
-            for r in here.where(in_range).groupBy("node", binned.cast("bigint").alias("bin")).agg(F.sum(weight).alias("w")).collect():
-                counts[r.node].append((r.bin, r.w))
-            for k, s in pending.items():
-                for b, w in sorted(counts[k]):
-                    if s["low"] + w >= s["want"]:
-                        start, end = b << step[k], (b + 1) << step[k]
-                        if step[k] == 0 or w <= allowed:
-                            s["cut"] = end if s["low"] + w - s["want"] <= s["want"] - s["low"] else start
-                        else:
-                            s["at"], s["bits"] = start, step[k]
-                        break
-                    s["low"] += w
-                else:
-                    s["cut"] = 1 << PLACE_BITS
-        right = {k: (lambda k=k: F.when(F.col(axis[k]) >= F.lit(state[k]["cut"]).cast("bigint"), F.lit(k + active[k] // 2)).otherwise(F.lit(k))) for k in active}
-        node = _choose_nested(node, right)
-        for k, n in active.items():
-            open_nodes[k], open_nodes[k + n // 2] = n // 2, n - n // 2
-    return points.withColumn("leaf", node.cast("int"))
-
-
-def _choose_nested(node: Column, by_node: dict[int, Callable[[], Column]]) -> Column:
-    return F.element_at(F.transform(F.array(node), lambda x: _choose(x, by_node, x)), 1)
+    whole = points.agg(F.sum(weight).alias("w"), *[f(d).alias(f"{k}_{d}") for d in dims for k, f in (("low", F.min), ("high", F.max))]).first()
+    if whole.w is None:
+        return points.withColumn("leaf", F.lit(0))
+    allowed = TOLERANCE * float(whole.w) / leaves
+    range_of = {d: float(max(1, whole[f"high_{d}"] - whole[f"low_{d}"])) for d in dims}
+    # A node's number is its first leaf; n leaves are to come of it.
+    at, most = points.withColumns({"node": F.lit(0).cast("bigint"), "n": F.lit(leaves).cast("bigint")}), leaves
+    count, own = 1, None
+    while most > 1:
+        lows, highs = (F.array(*[f(d) for d in dims]) for f in (F.min, F.max))
+        nodes = at.where("n > 1").groupBy("node", "n").agg(F.sum(weight).alias("w"), lows.alias("lows"), highs.alias("highs"))
+        wide = F.array(*[(F.col("highs")[k] - F.col("lows")[k]) / F.lit(range_of[d]) for k, d in enumerate(dims)])
+        nodes = nodes.withColumn("axis", F.array_position(wide, F.array_max(wide)).cast("int")).withColumn("half", F.expr("n div 2"))
+        state = store(nodes.select("node", "half", "axis", F.element_at("lows", F.col("axis")).alias("low"), F.element_at("highs", F.col("axis")).alias("high"), F.lit(0).cast("bigint").alias("below"), (F.col("w") * F.col("half") / F.col("n")).cast("double").alias("want")), "sharding-nodes")
+        axes = _few(state.select("node", "axis"), count)
+        place = F.element_at(F.array(*dims), F.col("axis"))
+        cuts = _cuts(at.where("n > 1").join(axes, "node").select("node", F.col(weight).alias("weight"), place.alias("place")), state, count, allowed)
+        right = F.coalesce(place >= F.col("cut"), F.lit(False))
+        moved = at.join(_few(cuts, count), "node", "left").withColumns({"node": F.when(right, F.col("node") + F.col("half")).otherwise(F.col("node")), "n": F.when(F.col("cut").isNull(), F.col("n")).when(right, F.col("n") - F.col("half")).otherwise(F.col("half"))})
+        before, own = own, store(moved.select(*points.columns, "node", "n"), "sharding-level")
+        at, most, count = own, most - most // 2, 2 * count
+        discard(state, cuts, *([before] if before is not None else []))
+    return at.withColumn("leaf", F.col("node").cast("int")).drop("node", "n")
 
 
 def shard(df: DataFrame, shards: int = 8, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
