@@ -4,7 +4,7 @@ A row's log odds over the languages are a sum of
 - its text's likelihood under byte-trigram models learned from labelled texts, tempered so that no text counts for more
   than EFFECTIVE trigrams;
 - how likely its declared markup language and its address suffix are under each language, from tables that grouped aggregation
-  of the text posteriors makes;
+  of the other rows' text posteriors makes;
 - its host's prior: the posteriors of the host's other rows, smoothed by those of its domain, and these by the corpus's.
 Rows whose best posterior is below ACCEPT, whose text fits no language, or that have neither text nor other evidence, are
 not accepted.
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, bytes_of, column, has, store
 
-#: Languages are those with at least this share of the labelled texts, at most MAX_LANGUAGES of them.
-LEAST_SHARE, MAX_LANGUAGES = 0.002, 64
+#: Languages are those whose labelled texts have so many trigrams, at most MAX_LANGUAGES of them: those of most texts.
+LEAST_EVIDENCE, MAX_LANGUAGES = 500, 64
 BINS = 1 << 14
 EFFECTIVE = 60
 #: Rows' worth of the level above in a smoothed prior, and of evenness in an evidence table.
@@ -33,15 +33,34 @@ ACCEPT, LEAST_TRIGRAMS = 0.7, 12
 #: Cells of a model merged at once.
 BLOCK = 1 << 11
 
-_NOISE = re.compile(rb"(?is)<(script|style|nav|footer|header|head)\b.*?</\1\s*>|<!--.*?-->")
-_TAG = re.compile(rb"(?s)<[^>]*>")
+#: Elements whose text is none of the page's.
+_OPEN = re.compile(rb"(?i)<(?:(script|style|nav|footer|header|head)\b|!--)")
+_CLOSE = {name: re.compile(rb"(?i)</" + name + rb"\s*>") for name in (b"script", b"style", b"nav", b"footer", b"header", b"head")} | {b"": re.compile(b"-->")}
+_TAG = re.compile(rb"<[^>]*>")
 #: Bytes that are no letters become spaces; bytes above 127 stay.
 _LETTERS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 
 
+def _without_noise(html: bytes) -> bytes:
+    """html without comments and the elements of _CLOSE; what is never closed stays. Each close is sought once from where the last was, so the time is linear."""
+    out, at, begin, open_for_good = [], 0, 0, set()
+    while m := _OPEN.search(html, at):
+        name = (m[1] or b"").lower()
+        end = None if name in open_for_good else _CLOSE[name].search(html, m.end())
+        if end:
+            out += [html[begin : m.start()], b" "]
+            at = begin = end.end()
+        else:
+            open_for_good.add(name)
+            at = m.end()
+    return b"".join([*out, html[begin:]])
+
+
 def visible_text(html: bytes) -> bytes:
     """The text of a page without its scripts, styles, navigation and tags."""
-    plain = _TAG.sub(b" ", _NOISE.sub(b" ", html))
+    plain = _without_noise(html)
+    end = plain.rfind(b">") + 1  # up to there every tag has an end
+    plain = _TAG.sub(b" ", plain[:end]) + plain[end:]
     return unescape(plain.decode("utf-8", "replace")).encode() if b"&" in plain else plain
 
 
@@ -75,9 +94,7 @@ def fit(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Tex
     rows = texts.select(F.col(lang_col).cast("string").alias("lang"), bytes_of(F.col(text_col)).alias("text")).where("lang IS NOT NULL")
     top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     total = sum(r["count"] for r in top)
-    share = {r.lang: r["count"] / total for r in sorted(top, key=lambda r: r.lang) if r["count"] >= LEAST_SHARE * total}
-    if not share:
-        return TextModel(["und"], np.zeros((1, BINS)), np.ones(1))
+    share = {r.lang: r["count"] / total for r in sorted(top, key=lambda r: r.lang)}
     place = {lang: i for i, lang in enumerate(share)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +121,11 @@ def fit(texts: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Tex
     counts = np.zeros(len(place) * BINS, np.int64)
     for r in parts.collect():  # BINS numbers for each language
         counts[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.sums, np.int64)
-    return TextModel(list(place), counts.reshape(-1, BINS), np.array(list(share.values())))
+    counts = counts.reshape(-1, BINS)
+    kept = np.flatnonzero(counts.sum(1) >= LEAST_EVIDENCE)
+    if not len(kept):
+        return TextModel(["und"], np.zeros((1, BINS)), np.ones(1))
+    return TextModel([list(place)[i] for i in kept], counts[kept], np.array(list(share.values()))[kept])
 
 
 def address_parts(url: Column) -> dict[str, Column]:
@@ -116,7 +137,7 @@ def address_parts(url: Column) -> dict[str, Column]:
 
 def declared_language(html: Column) -> Column:
     """Primary part of the html tag's lang attribute, lower-cased; null without one."""
-    lang = F.lower(F.regexp_extract(F.coalesce(html.cast("string"), F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})\b", 1))
+    lang = F.lower(F.regexp_extract(F.coalesce(html.cast("string"), F.lit("")), r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})\b", 1))
     return F.when(lang != "", lang)
 
 
@@ -165,21 +186,24 @@ def identify(df: DataFrame, model: TextModel, id_col: str, text_col: str, declar
     whole = judged.agg(*sums).first()
     overall = [float(whole[f"s{i}"] or 0.0) for i in each]
 
-    def evidence(key: str) -> DataFrame:
-        """For each value of key, the log of its share among the rows of each language."""
-        t = judged.where(F.col(key).isNotNull()).groupBy(key).agg(*sums)
+    # A row's own posterior is no part of what is held against it.
+    zero = F.array(*[F.lit(0.0)] * len(langs))
+    own = F.when(F.col("n_trigrams") >= LEAST_TRIGRAMS, F.col("text_post")).otherwise(zero)
+    others = lambda c: F.coalesce(F.zip_with(F.col(c), own, lambda a, b: F.greatest(a - b, F.lit(0.0))), zero)
+    every = F.zip_with(F.array(*map(F.lit, overall)), own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
+
+    def with_evidence(rows: DataFrame, key: str) -> DataFrame:
+        """rows with the log of the share that their value of key has among the other rows of each language; of no value, zeros."""
+        sums_of = store(judged.where(F.col(key).isNotNull()).groupBy(key).agg(*sums), f"language-{key}").select(key, array().alias(f"{key}_sum"))
         even = EVEN / (len(langs) + 2)
-        return store(t.select(key, F.array(*[F.log((F.col(f"s{i}") + even) / F.lit(overall[i] + EVEN)) for i in each]).alias(f"{key}_log")), f"language-{key}")
+        log = F.zip_with(others(f"{key}_sum"), every, lambda s, n: F.log((s + even) / (n + EVEN)))
+        return rows.join(sums_of, key, "left").withColumn(f"{key}_log", F.when(F.col(key).isNotNull(), log).otherwise(zero)).drop(f"{key}_sum")
 
     for key in ("declared", "suffix"):
-        rows = rows.join(evidence(key), key, "left")
+        rows = with_evidence(rows, key)
     domains = store(judged.where("domain IS NOT NULL").groupBy("domain").agg(*sums), "language-domains").select("domain", array().alias("domain_sum"))
     hosts = store(judged.where("host IS NOT NULL").groupBy("host").agg(*sums), "language-hosts").select("host", array().alias("host_sum"))
     rows = rows.join(domains, "domain", "left").join(hosts, "host", "left")
-    # A row's own posterior is no part of its prior.
-    own = F.when(F.col("n_trigrams") >= LEAST_TRIGRAMS, F.col("text_post")).otherwise(F.array(*[F.lit(0.0)] * len(langs)))
-    zero = F.array(*[F.lit(0.0)] * len(langs))
-    others = lambda c: F.coalesce(F.zip_with(F.col(c), own, lambda a, b: F.greatest(a - b, F.lit(0.0))), zero)
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
     smoothed = lambda c, above: F.zip_with(F.col(c), above, lambda x, p: (x + SMOOTH * p) / (F.col(f"{c}_n") + SMOOTH))
     rows = rows.withColumns({"domain_sum": others("domain_sum"), "host_sum": others("host_sum")})
@@ -189,7 +213,7 @@ def identify(df: DataFrame, model: TextModel, id_col: str, text_col: str, declar
     rows = rows.withColumn("host_prior", smoothed("host_sum", F.col("domain_prior")))
     rows = rows.withColumn("log", F.zip_with("log", F.transform("host_prior", lambda x: F.log(F.greatest(x, F.lit(1e-12)))), lambda a, b: a + b))
     for key in ("declared", "suffix"):
-        rows = rows.withColumn("log", F.zip_with("log", F.coalesce(f"{key}_log", zero), lambda a, b: a + b))
+        rows = rows.withColumn("log", F.zip_with("log", f"{key}_log", lambda a, b: a + b))
     rows = rows.withColumn("post", _softmax(F.col("log")))
     best = F.array_max("post")
     name = lambda post: F.element_at(F.array(*map(F.lit, langs)), F.array_position(post, F.array_max(post)).cast("int"))
