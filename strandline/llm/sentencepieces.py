@@ -3,8 +3,9 @@
 The automaton over all pieces reads a text once; at each position its output links give every piece that ends there,
 longest first, and the best way to the position is relaxed through them. In a unigram model the best way has the
 largest sum of scores. In a byte-pair model the only way that merging can leave is the one whose neighbours are all
-pairs that merging itself leaves apart, so a piece relaxes a position where it may stand after the piece before it;
-pairs are judged once, by merging them, and remembered. Characters without a piece become their bytes' pieces.
+pairs that merging itself leaves apart: a piece relaxes a position where it may stand after the piece before it. At most one
+piece can, so there are no scores to compare there and the rest of the position's links are passed over; pairs are judged once, by
+merging them by their scores, and remembered. Characters without a piece become their bytes' pieces.
 
 Where no piece holds a space mark behind another character, words cannot meet in a piece and are encoded one by one and remembered.
 """
@@ -23,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, bytes_of, column
+from .common import arrow_map, bytes_of, column, received, send_file
 
 #: Fixed values of the model file's format: the space mark, and the numbers of fields and model types.
 SPACE = "▁"
 TRAINER, NORMALIZER, MODEL_TYPE, CHARSMAP, DUMMY_PREFIX, SQUEEZE = 2, 3, 3, 2, 3, 4
 UNIGRAM, BYTE_PAIR = 1, 2
-CACHE_WORDS, CACHE_PAIRS = 1_000_000, 1_000_000
+#: About so many bytes of words with their ids, and so many pairs (some 100 bytes each), are remembered by a worker.
+CACHE_BYTES, CACHE_PAIRS = 200 << 20, 600_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -86,6 +88,7 @@ class Pieces:
         by_word = not any(SPACE in p.lstrip(SPACE) for p in plain)
         self.words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if by_word else re.compile("(?s).+")
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.pairs: dict[int, bool] = {}
 
     def _apart(self, a: int, b: int) -> bool:
@@ -168,11 +171,13 @@ class Pieces:
         words, known = self.words.findall(text), self.known
         for w in words:
             if w not in known:
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                    return b"".join(np.array(self._viterbi(x), "<u4").tobytes() for x in words)
-                known[w] = np.array(self._viterbi(w), "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+                known[w] = ids = np.array(self._viterbi(w), "<u4").tobytes()
+                self.held += 200 + 2 * len(w) + len(ids)
+        out = b"".join(map(known.__getitem__, words))
+        if self.held > CACHE_BYTES:
+            known.clear()
+            self.held = 0
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD. Space marks in the encoded text come back as spaces."""
@@ -192,9 +197,10 @@ def pieces_of(path: str) -> Pieces:
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) for each row of df. Null and empty texts have no ids; repeated rows and null ids are kept; extra columns are not read."""
+    name = send_file(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(path)
+        pieces = pieces_of(received(name))
         for b in batches:
             raw = [pieces.encode(t.decode("utf-8", "replace")) for t in column(b, "text")]
             ends = np.cumsum([0, *(len(r) // 4 for r in raw)]).astype(np.int32)
@@ -208,9 +214,10 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """df with `decoded`, the text of its ids; null ids decode as the empty text."""
     schema = T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())])
+    name = send_file(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(path)
+        pieces = pieces_of(received(name))
         for b in batches:
             at = b.column(b.schema.get_field_index(ids_col))
             texts = [pieces.decode(x.values.to_numpy().tolist()) if x.is_valid else "" for x in at]
