@@ -97,17 +97,18 @@ class Ranker:
 
 
 def fit(df: DataFrame, labels: DataFrame, folds: int = 5, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = MAX_LABELS) -> Ranker:
-    """Learns from at most max_labels labelled rows whose fold isn't 0. Labels other than 0 and 1 are left out; of several labels of an id the least counts."""
+    """Learns from at most max_labels labelled rows whose fold isn't 0, in the order of their ids' hashes. Labels other than 0 and 1 are left out; of several labels of an id the least counts, and of several texts the one whose hash is least."""
     lab = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & (fold(F.col("id"), folds) != 0))
     lab = lab.groupBy("id").agg(F.min("label").cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_labels)
-    rows = df.select(F.col(id_col).alias("id"), bytes_of(F.col(text_col)).alias("text")).join(F.broadcast(lab), "id")
+    text = bytes_of(F.col(text_col))
+    rows = df.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h")).join(F.broadcast(lab), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("label")), pa.array([features(t).tobytes() for t in column(b, "text")], pa.binary())], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([features(t).tobytes() for t in column(b, "text")], pa.binary())], ["place", "h", "label", "x"])
 
-    # Bounded by max_labels, unless ids repeat: then rows of the same id are all learned from, up to four times the bound.
-    got = arrow_map(rows.select("label", "text"), run, "label int, x binary").limit(4 * max_labels).toPandas()
+    found = arrow_map(rows.select(F.xxhash64("id").alias("place"), "h", "label", "text"), run, "place bigint, h bigint, label int, x binary")
+    got = found.groupBy("place").agg(F.min(F.struct("h", "label", "x")).alias("r")).select("place", "r.label", "r.x").toPandas().sort_values("place")  # bounded by max_labels
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, WIDTH).astype(np.float64)
     return Ranker(x, got["label"].to_numpy(np.int64), cut)
 
