@@ -38,6 +38,8 @@ BLOCK = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Words whose hashes a worker remembers.
 CACHE_WORDS = 500_000
+#: Bytes of row ids or removed spans that are broadcast at most; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -164,18 +166,17 @@ def sketch(texts: DataFrame, cells: int, window: int) -> list[np.ndarray]:
     return rows
 
 
-def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, text_1, text_2, n_words, n_removed, spans, kept_sha256) for each row of df.
+def _few(rows: DataFrame, count: int, each: int) -> DataFrame:
+    return F.broadcast(rows) if count * each <= BROADCAST_BYTES else rows
+
+
+def found_spans(source: DataFrame, kind: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """What source(row, id, text) loses: base(row, id, text_1, text_2, n_words, sha) of all its rows, and results(row, gone, spans) of those searched that lose words.
 
-    text_1 and text_2 are two 64-bit hashes of the text; spans are the removed runs of words, as [start, end) pairs in
-    order. Null texts have no words. Texts shorter than a window lose nothing. Rows with a null id neither lose words nor
-    take any from others. Repeated rows (equal id and text) share a result, a row each; texts under one id don't take
-    words from each other. Extra columns are not read.
+    Of the rows with a text, the first with its smallest id is searched. row must stay the same when source is read again.
     """
-    spark = df.sparkSession
-    source = df.select(F.col(id_col).alias("id"), bytes_of(F.col(text_col)).alias("text"))
-    hashed = source.withColumns({"text_1": F.xxhash64("text"), "text_2": F.xxhash64(F.lit(1), "text")})
-    kind = df.schema[id_col].dataType.simpleString()
+    spark = source.sparkSession
+    hashed = source.select("row", "id", "text", F.xxhash64("text").alias("text_1"), F.xxhash64(F.lit(1), "text").alias("text_2"))
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,11 +185,13 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
                 words = t.split()
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(n, pa.int64()), pa.array(sha)], ["id", "text_1", "text_2", "n_words", "sha"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), pa.array(n, pa.int64()), pa.array(sha)], ["row", "id", "text_1", "text_2", "n_words", "sha"])
 
-    base = store(arrow_map(hashed, facts, f"id {kind}, text_1 bigint, text_2 bigint, n_words bigint, sha string"), "substring-base")
-    first = store(base.where(F.col("id").isNotNull() & (F.col("n_words") >= window)).groupBy("text_1", "text_2").agg(F.min("id").alias("id")), "substring-first")
-    texts = store(hashed.join(first.hint("shuffle_hash"), ["id", "text_1", "text_2"], "left_semi").withColumn("row", F.monotonically_increasing_id()), "substring-texts")
+    base = store(arrow_map(hashed, facts, f"row bigint, id {kind}, text_1 bigint, text_2 bigint, n_words bigint, sha string"), "substring-base")
+    long = base.where(F.col("id").isNotNull() & (F.col("n_words") >= window))
+    many = long.groupBy("text_1", "text_2").agg(F.min(F.struct("id", "row")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    copies = store(long.join(many, ["text_1", "text_2"]).where("row != least.row").select("row"), "substring-copies")
+    texts = source.where(F.col("id").isNotNull()).join(_few(copies, copies.count(), 16), "row", "left_anti")
     words = base.agg(F.sum("n_words")).first()[0] or 0
     cells = max(MIN_CELLS, min(MAX_CELLS, 1 << int(words * CELLS_PER_WORD).bit_length()))
     bits = spark.sparkContext.broadcast(sketch(texts, cells, window))
@@ -200,6 +203,8 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
             ids, rows = column(b, "id"), column(b, "row")
             for i, t in enumerate(column(b, "text")):
                 w = hashes.of(t)
+                if len(w) < window:
+                    continue
                 m = minimizers(w, window)
                 twice = np.ones(len(m), bool)
                 for row in range(DEPTH):
@@ -215,40 +220,96 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
                         ["h1", "h2", "id", "row", "at"],
                     )
 
-    found = arrow_map(texts.select("id", "row", "text"), candidates, f"h1 bigint, h2 bigint, id {kind}, row bigint, at int")
+    found = store(arrow_map(texts.select("id", "row", "text"), candidates, f"h1 bigint, h2 bigint, id {kind}, row bigint, at int"), "substring-windows")
     held = found.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
     held = store(held, "substring-held")
     covered = found.join(held, ["h1", "h2"]).where("least < id").groupBy("row").agg(F.collect_list("at").alias("at"))
-    rest = texts.join(covered, "row").drop("row")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spans of the words that windows from these places cover."""
         for b in batches:
-            gone, spans, sha = [], [], []
-            for t, at in zip(column(b, "text"), b.column(b.schema.get_field_index("at")), strict=True):
-                words = t.split()
-                edge = np.zeros(len(words) + 1, np.int64)
-                at = at.values.to_numpy()
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + window, -1)
-                out = np.cumsum(edge[:-1]) > 0
-                gone.append(int(out.sum()))
-                spans.append(np.flatnonzero(np.diff(np.concatenate(([False], out, [False])).astype(np.int8))).tolist())
-                sha.append(hashlib.sha256(b" ".join(w for w, o in zip(words, out.tolist(), strict=True) if not o)).hexdigest())
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ("id", "text_1", "text_2")), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(sha)], ["id", "text_1", "text_2", "gone", "cut", "cut_sha"])
-
-    # Equal ids with equal texts have equal results.
-    results = arrow_map(rest, cut, f"id {kind}, text_1 bigint, text_2 bigint, gone bigint, cut array<bigint>, cut_sha string").dropDuplicates(["id", "text_1", "text_2"])
-    firsts = first.select("id", "text_1", "text_2", F.lit(True).alias("first"))
-    results = store(firsts.join(results, ["id", "text_1", "text_2"], "left"), "substring-results")
-    discard(texts, held)
-    copy = F.col("first").isNull() & F.col("id").isNotNull() & (F.col("n_words") >= window)
+            gone, spans = [], []
+            for at in b.column(1):
+                at = np.unique(at.values.to_numpy()).astype(np.int64)
+                cut = np.flatnonzero(np.diff(at) > window)
+                begin, end = at[np.concatenate(([0], cut + 1))], at[np.concatenate((cut, [len(at) - 1]))] + window
+                gone.append(int((end - begin).sum()))
+                spans.append(np.stack((begin, end), 1).ravel())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.int64()))], ["row", "gone", "spans"])
+
+    results = store(arrow_map(covered, together, "row bigint, gone bigint, spans array<bigint>"), "substring-results")
+    discard(copies, found, held)
+    return base, results
+
+
+def _shared(base: DataFrame, results: DataFrame, window: int) -> DataFrame:
+    """base with n_removed and spans, of copies too; and `from_row`, the row whose result a row shares."""
+    long = F.col("id").isNotNull() & (F.col("n_words") >= window)
+    firsts = base.where(long).groupBy("text_1", "text_2").agg(F.min(F.struct("id", "row")).alias("least"))
+    rows = base.join(firsts, ["text_1", "text_2"], "left")
+    copy = long & (F.col("id") != F.col("least.id"))
+    rows = rows.withColumns({"copy": F.coalesce(copy, F.lit(False)), "from_row": F.when(long & ~copy, F.col("least.row"))}).drop("least")
+    rows = rows.join(results.withColumnRenamed("row", "from_row"), "from_row", "left")
+    whole = F.array(F.lit(0).cast("bigint"), F.col("n_words"))
+    return rows.withColumns({"n_removed": F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))), "spans": F.when(F.col("copy"), whole).otherwise(F.coalesce("spans", F.array().cast("array<bigint>")))})
+
+
+def left_words(text: bytes, spans: list[int]) -> bytes:
+    """The words outside the spans, joined by one space."""
+    words, at, kept = text.split(), 0, []
+    for start, end in zip(spans[::2], spans[1::2], strict=True):
+        kept += words[at:start]
+        at = end
+    return b" ".join(kept + words[at:])
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), bytes_of(F.col(text_col)).alias("text"))
+
+
+def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(id, text_1, text_2, n_words, n_removed, spans, kept_sha256) for each row of df.
+
+    df must give the same rows in the same order when it is read again, as files and stored tables do. text_1 and text_2 are
+    two 64-bit hashes of the text; spans are the removed runs of words, as [start, end) pairs in order. Null texts have no
+    words. Texts shorter than a window lose nothing. Rows with a null id neither lose words nor take any from others. Repeated
+    rows (equal id and text) share a result, a row each; texts under one id don't take words from each other. Extra columns
+    are not read.
+    """
+    source, kind = _rows(df, id_col, text_col), df.schema[id_col].dataType.simpleString()
+    base, results = found_spans(source, kind, window)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sha = [hashlib.sha256(left_words(t, s)).hexdigest() for t, s in zip(column(b, "text"), column(b, "spans"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha)], ["from_row", "cut_sha"])
+
+    n, ends = results.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    cut = source.join(_few(results.select("row", "spans"), 64 * n + 8 * ends, 1), "row").select("row", "text", "spans")
+    cut = store(arrow_map(cut, digest, "from_row bigint, cut_sha string"), "substring-cut")
     nothing = hashlib.sha256(b"").hexdigest()
-    return base.join(results, ["id", "text_1", "text_2"], "left").select(
-        "id",
-        "text_1",
-        "text_2",
-        "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
-        F.when(copy, F.array(F.lit(0).cast("bigint"), F.col("n_words"))).otherwise(F.coalesce("cut", F.array().cast("array<bigint>"))).alias("spans"),
-        F.when(copy, F.lit(nothing)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
-    )
+    kept = F.when(F.col("copy"), F.lit(nothing)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256")
+    return _shared(base, results, window).join(cut, "from_row", "left").select("id", "text_1", "text_2", "n_words", "n_removed", "spans", kept)
+
+
+def without_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """df with the words that removals() names cut out of its texts; rows that lose nothing keep their text as it is. df must give the same rows when read again."""
+    names = df.columns
+    base, results = found_spans(_rows(df, id_col, text_col), df.schema[id_col].dataType.simpleString(), window)
+    found = store(_shared(base, results, window).where("n_removed > 0").select("row", "spans"), "substring-spans")
+    discard(base, results)
+    n, ends = found.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    # Whole rows travel as one column, so that no name of theirs clashes.
+    keyed = df.select(F.struct(*names).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    joined = keyed.join(_few(found, 64 * n + 8 * ends, 1), "row", "left").select("doc", "spans")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = dict(zip(names, b.column(0).flatten(), strict=True))
+            texts = cols[text_col].to_pylist()
+            for i, spans in enumerate(column(b, "spans")):
+                if spans:
+                    texts[i] = left_words(texts[i].encode(), spans).decode("utf-8", "replace")
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else cols[c] for c in names], names)
+
+    return arrow_map(joined, cut, df.schema)
