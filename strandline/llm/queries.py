@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, lm_scoring, packing, preference, quality_rules, sentencepieces, sharding, simhash, substrings, topk
-from .common import read
+from .common import read, spread
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,19 +16,19 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+    return preference.classify(spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
 def op3_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    out = sentencepieces.decode(sentencepieces.encode(read(spark, sf_dir, "documents"), path), path)
+    out = sentencepieces.decode(sentencepieces.encode(spread(read(spark, sf_dir, "documents")), path), path)
     return out.select(F.col("id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_ids"), "ids", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), F.octet_length("decoded").cast("bigint").alias("decoded_bytes"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    out = simhash.near_duplicates(spread(read(spark, sf_dir, "documents")))
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -38,8 +38,8 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = language_id.fit(read(spark, sf_dir, "documents"))
-    return language_id.identify_pages(read(spark, sf_dir, "pages"), model).drop("row").withColumnRenamed("id", "page_id")
+    model = language_id.fit(spread(read(spark, sf_dir, "documents")))
+    return language_id.identify_pages(spread(read(spark, sf_dir, "pages")), model).drop("row").withColumnRenamed("id", "page_id")
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,18 +48,18 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules.judge(read(spark, sf_dir, "documents"))
+    out = quality_rules.judge(spread(read(spark, sf_dir, "documents")))
     return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+    return packing.pack(spread(read(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return lm_scoring.score(spread(read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_topk": op1_topk, "op2_preference": op2_preference, "op3_sentencepieces": op3_sentencepieces, "op4_simhash": op4_simhash, "op5_sharding": op5_sharding, "op6_language_id": op6_language_id, "op7_substrings": op7_substrings, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_lm_scoring": op10_lm_scoring}
@@ -67,17 +67,14 @@ WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
 def _quality_sql() -> str:
-    """The quality rules over DuckDB's lists: base counts, histograms, references, Jensen-Shannon distances."""
+    """The quality rules over DuckDB's lists: base counts, languages and their words, histograms, references, Jensen-Shannon distances."""
     q = quality_rules
     size = len(q.CLASSES) + 2
-    vocabulary = {lang: words.split() for lang, words in q.COMMON.items()}
     gone = lambda pattern: "length(t) - length(regexp_replace(t, '" + pattern.replace("'", "''") + "', '', 'g'))"
     chars = ", ".join([*(gone(c) for c in q.CLASSES), "length(t) - word_chars", f"word_chars - ({' + '.join(gone(c) for c in q.CLASSES)})"])
-    commons = ", ".join(f"'{lang}': [{', '.join(f'len(list_filter(w, lambda x: x = $${v}$$))' for v in words)}]" for lang, words in vocabulary.items())
     js = lambda p, q_: f"sqrt(greatest(0.0, list_sum(list_transform(list_zip({p}, {q_}), lambda x: (CASE WHEN x[1] > 0 THEN x[1] * log2(x[1] / ((x[1] + x[2]) / 2)) ELSE 0 END + CASE WHEN x[2] > 0 THEN x[2] * log2(x[2] / ((x[1] + x[2]) / 2)) ELSE 0 END) / 2))))"
     shares = lambda counts, n: f"list_transform(list_append({counts}, {n} - list_sum({counts})), lambda x: x::DOUBLE / greatest({n}, 1))"
-    sums = ", ".join(f"sum(chars[{k + 1}])" for k in range(size))
-    per_lang = " UNION ALL ".join(f"SELECT '{lang}' AS lang, sum(n_words) AS n, [{sums}] AS c, [{', '.join(f'sum(common[$${lang}$$][{k + 1}])' for k in range(len(words)))}] AS w FROM counted WHERE NOT base_failed AND lang = '{lang}' HAVING count(*) > 0" for lang, words in vocabulary.items())
+    sums = lambda name, n: ", ".join(f"coalesce(sum({name}[{k + 1}]), 0)" for k in range(n))
     return f"""
         WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, {WORDS_SQL} AS w FROM documents),
         windows AS (SELECT doc_id, i, w[i:i + 4] AS k FROM d, LATERAL unnest(range(1, len(w) - 3)) r(i)),
@@ -89,11 +86,16 @@ def _quality_sql() -> str:
                    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
             FROM d JOIN lines USING (doc_id) LEFT JOIN repeated r USING (doc_id)
         ), counted AS (
-            SELECT *, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED} * n_words AS base_failed, [{chars}] AS chars, MAP {{{commons}}} AS common FROM base
-        ), refs AS ({per_lang}),
+            SELECT *, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED} * n_words AS base_failed, [{chars}] AS chars FROM base
+        ), langs AS (SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT {q.MAX_LANGUAGES}),
+        held AS (SELECT lang, unnest(w) AS word FROM d JOIN langs USING (lang)),
+        top AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS nth FROM held GROUP BY lang, word QUALIFY nth <= {q.COMMON}),
+        vocabulary AS (SELECT lang AS of_lang, list(word ORDER BY nth) AS words FROM top GROUP BY lang),
+        common AS (SELECT counted.*, of_lang, list_transform(words, lambda v: len(list_filter(w, lambda x: x = v))) AS c FROM counted, vocabulary),
+        refs AS (SELECT of_lang, sum(n_words) AS n, [{sums("chars", size)}] AS ref_chars, [{sums("c", q.COMMON)}] AS ref_words FROM common WHERE NOT base_failed AND lang = of_lang GROUP BY of_lang HAVING count(*) >= {q.LEAST_TEXTS}),
         far AS (
-            SELECT doc_id, min(({js("list_transform(chars, lambda x: x::DOUBLE / greatest(list_sum(chars), 1))", "list_transform(c, lambda x: x::DOUBLE / greatest(list_sum(c), 1))")} + {js(shares("common[refs.lang]", "n_words"), shares("refs.w", "refs.n"))}) / 2) AS distance
-            FROM counted, refs GROUP BY doc_id
+            SELECT doc_id, min(({js("list_transform(chars, lambda x: x::DOUBLE / greatest(list_sum(chars), 1))", "list_transform(ref_chars, lambda x: x::DOUBLE / greatest(list_sum(ref_chars), 1))")} + {js(shares(f"list_resize(c, {q.COMMON}, 0)", "n_words"), shares("ref_words", "n"))}) / 2) AS distance
+            FROM common JOIN refs USING (of_lang) WHERE lang IS NULL OR lang IN (SELECT of_lang FROM refs) GROUP BY doc_id
         )
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND NOT (n_words >= {q.MIN_WORDS} AND coalesce(distance, 0) > greatest({q.MAX_DISTANCE}, {q.FLOOR} + {q.NOISE} / sqrt(greatest(n_words, 1)))) AS kept
