@@ -4,6 +4,8 @@ import collections
 import hashlib
 import math
 import random
+import struct
+import time
 import zlib
 
 import numpy as np
@@ -11,6 +13,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 
 from strandline.llm import language_id, lm_scoring, packing, preference, quality_rules, sentencepieces, sharding, simhash, similar, substrings, topk
 
@@ -29,6 +32,7 @@ def odd_rows():
     rows = [(i, t, "en" if i % 2 else None, "hot") for i, t in enumerate(texts)]
     shared = prose(rng, 70)
     rows += [(20 + i, f"{prose(rng, 30)} {shared} {prose(rng, 20)}", "en", None) for i in range(4)]
+    rows += [(50 + n, prose(rng, n), "en", "hot") for n in (5, 20, 31, 32, 33, 49, 50, 51)]
     rows += [(None, shared, None, "hot"), (40, shared, "de", "hot"), (40, shared, "de", "hot"), (41, "x " * 200, "xx", "")]
     return [(*r, *EXTRA) for r in rows]
 
@@ -76,6 +80,39 @@ def test_topk_of_few_rows_and_large_numbers(spark):
     assert got == [(0, 1, 1, big), (0, 2, 2, -big - 1)]
 
 
+def test_topk_of_the_largest_numbers(spark):
+    rows = [(0, [1e308, 1.0]), (1, [1e-3, 5.0]), (2, [-1e308, 0.0]), (3, [0.0, 7.0])]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).orderBy("rank").collect()]
+    big = (1 << 63) - 1
+    assert got == [(0, 1, 1, big), (0, 2, 3, 1024 * 7 * 1024), (0, 3, 2, -big - 1)]
+
+
+def test_topk_over_many_tiles_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "TILE", 3)
+    monkeypatch.setattr(topk, "CHUNK", 50)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 20)) * 5
+    rows = [(i, [float(x) for x in np.round(centres[i % 6] + rng.normal(size=20), 2)]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in topk.top_k(df, k=5).select("query_id", "rank", "id", "score").collect())
+    assert got == brute_top(rows, 5)
+
+
+def test_pairs_that_survive_are_scored_alone():
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.normal(size=(40, 32)) * 3, 50, axis=0) + rng.normal(size=(2000, 32)) * 0.1
+    best, x = topk.Best(x[::50], np.arange(-40, 0), 10), rng.permutation(x)
+    best.add(x[:1000], np.arange(1000))
+    scored = []
+    exact = topk.exact_pairs
+    topk.exact_pairs = lambda q, r: scored.append(len(q)) or exact(q, r)
+    try:
+        best.add(x[1000:], np.arange(1000, 2000))
+    finally:
+        topk.exact_pairs = exact
+    assert 0 < sum(scored) < topk.SPARSE * 40 * 1000
+
+
 def test_bounds_never_fall_short():
     rng = np.random.default_rng(0)
     q, x = rng.integers(-3000, 3000, (20, 33)).astype(float), rng.integers(-3000, 3000, (50, 33)).astype(float)
@@ -101,6 +138,29 @@ def test_preference_ranks_held_out_rows(spark, odd):
     assert only.score == 0.5
 
 
+def test_ranker_is_the_plain_fit_over_all_pairs():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, preference.WIDTH))
+    y = (x[:, :4] @ [1.5, -1.0, 0.7, 0.4] + rng.normal(size=120) > 0).astype(np.int64)
+    r = preference.Ranker(x, y, 0.3)
+    z = np.clip((x - x.mean(0)) / np.maximum(x.std(0), 1e-4), -8, 8)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, x.shape[1])
+    w = np.zeros(x.shape[1])
+    for _ in range(600):
+        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+        w -= 0.05 * (-(p @ d) / len(d) + preference.DECAY * w)
+    assert np.corrcoef(z @ w, z @ r.w)[0, 1] > 0.97
+    assert abs((r.scores(x) >= 0.3).sum() - y.sum()) <= 1  # the cut is the quantile at the share of label 0
+
+
+def test_preference_learns_the_same_from_any_partitions(spark):
+    rng = random.Random(2)
+    rows = [(i % 300, prose(rng, 40) if i % 3 else prose(rng, 40).upper()) for i in range(400)]
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)], "doc_id bigint, quality int, toxic int")
+    one, many = (preference.fit(docs.repartition(n), labels) for n in (1, 7))
+    assert np.array_equal(one.w, many.w)
+
+
 # 3: sentence pieces
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -131,6 +191,41 @@ def test_unigram_viterbi_is_the_best_of_all_ways():
         assert sum(p.score[i] if i in p.text else 0.0 for i in p._viterbi(s)) >= best(s) - 1e-9
 
 
+def unigram_file(path, scores):
+    """A model file of pieces with scores, an unknown piece and all bytes, as the library reads it."""
+    field = lambda n, value: bytes([n << 3 | 2]) + number(len(value)) + value
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    piece = lambda text, score, kind: field(1, field(1, text.encode()) + b"\x15" + struct.pack("<f", score) + b"\x18" + bytes([kind]))
+    rows = piece("<unk>", 0, 2) + b"".join(piece(f"<0x{b:02X}>", 0, 6) for b in range(256)) + b"".join(piece(p, s, 1) for p, s in scores.items())
+    path.write_bytes(rows + field(2, b"\x18\x01\x98\x02\x01") + field(3, b"\x18\x01\x20\x00\x28\x01"))
+    return str(path)
+
+
+def test_unigram_file_equals_the_library(spark, tmp_path):
+    rng = random.Random(11)
+    scores = {c: -8.0 - k * 0.37 for k, c in enumerate("▁abcdé漢")}
+    while len(scores) < 300:
+        scores.setdefault("".join(rng.choice("▁abcdé") if not k else rng.choice("abcdé") for k in range(rng.randrange(2, 6))), -rng.random() * 20 - 1)
+    path = unigram_file(tmp_path / "unigram.model", scores)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["", "a", " ", "abc abcd éa", "漢x字 ab", "z", "cafe  b\na"] + ["".join(rng.choice("abcdé  z") for _ in range(200)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in sentencepieces.decode(sentencepieces.encode(df, path), path).collect():
+        assert r.ids == sp.encode(texts[r.id])
+        assert r.decoded == texts[r.id]
+
+
+def test_pieces_and_ranks_of_empty_tables(spark, empty):
+    assert sentencepieces.decode(sentencepieces.encode(empty, PIECES), PIECES).count() == 0
+    assert preference.classify(empty, spark.createDataFrame([], "doc_id bigint, quality int, toxic int")).count() == 0
+
+
 # 4: SimHash
 
 
@@ -282,6 +377,17 @@ def test_shards_are_near_equal_and_slots_gapless(spark, odd, empty):
     assert {r.shard for r in sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), target_bytes=100_000).collect()} == set(range(math.ceil(sum(sizes.values()) / 100_000)))
 
 
+def test_a_thousand_leaves_reach_their_bytes(spark):
+    rng = random.Random(3)
+    rows = [(i, "x" * rng.randrange(100, 300), "en", f"s{i % 5}") for i in range(20_000)]
+    began = time.time()
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), shards=1000).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    assert time.time() - began < 120
+    mean = sum(r.n for r in out) / 1000
+    assert len(out) == 1000
+    assert all(abs(r.n - mean) < 10 * 301 for r in out)
+
+
 # 6: language
 
 
@@ -305,6 +411,52 @@ def test_language_fuses_evidence(spark):
     assert not language_id.identify_pages(spark.createDataFrame(rows[:1], "page_id bigint, url string, html string, host int"), language_id.fit(docs.limit(0))).first().accepted
 
 
+def test_posteriors_match_a_plain_recomputation(spark):
+    rng = random.Random(9)
+    vocab = {"en": "the of and house water light under", "fr": "le de et maison eau sous soir", "de": "der und das wasser haus licht abend"}
+    docs = spark.createDataFrame([(" ".join(rng.choice(vocab[lang].split()) for _ in range(60)), lang) for lang in vocab for _ in range(20)], "text string, lang string")
+    model = language_id.fit(docs)
+    rows = []
+    for i in range(50):
+        lang = rng.choice(list(vocab))
+        text = " ".join(rng.choice(vocab[rng.choice(list(vocab)) if rng.random() < 0.4 else lang].split()) for _ in range(rng.choice([0, 1, 6, 30])))
+        rows.append((i, f"https://{rng.choice('abc')}.{rng.choice('xy')}.{rng.choice(['com', 'fr'])}/" if rng.random() < 0.8 else None, text, rng.choice(["en", "fr", "xx", None])))
+    df = spark.createDataFrame(rows, "id int, url string, text string, decl string")
+    got = {r.id: r for r in language_id.identify(df, model, "id", "text", F.col("decl"), F.col("url")).collect()}
+    n, L = len(model.languages), language_id
+    prior = model.share / model.share.sum()
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    facts = {}
+    for i, url, text, decl in rows:
+        host = url.split("/")[2] if url else None
+        log, t = model.likelihood(text.encode())
+        facts[i] = {"log": log, "t": t, "post": soft(log + np.log(prior)), "declared": decl if decl in (*model.languages, None) else "other", "host": host, "domain": host and ".".join(host.split(".")[-2:]), "suffix": host and host.split(".")[-1]}
+    judged = {i for i, f in facts.items() if f["t"] >= L.LEAST_TRIGRAMS}
+    whole = sum((facts[j]["post"] for j in judged), np.zeros(n))
+    for i, f in facts.items():
+        rest = judged - {i}
+        sums = lambda key: sum((facts[j]["post"] for j in rest if facts[j][key] == f[key]), np.zeros(n)) if f[key] is not None else np.zeros(n)  # noqa: E731, B023
+        log = f["log"].copy()
+        every = sum((facts[j]["post"] for j in rest), np.zeros(n))
+        for key in ("declared", "suffix"):
+            if f[key] is not None:
+                log += np.log((sums(key) + L.EVEN / (n + 2)) / (every + L.EVEN))
+        above = (whole + prior) / (whole.sum() + 1)
+        for key in ("domain", "host"):
+            above = (sums(key) + L.SMOOTH * above) / (sums(key).sum() + L.SMOOTH)
+        post = soft(log + np.log(above))
+        assert got[i].posterior == pytest.approx(post.max(), rel=1e-6)
+        assert got[i].lang == model.languages[int(post.argmax())]
+
+
+def test_markup_that_is_never_closed_takes_linear_time():
+    for part in (b"<script ", b"<!--", b"<", b"</script  ", b"<nav></nav ", b"<html "):
+        began = time.time()
+        language_id.visible_text(part * 200_000)
+        assert time.time() - began < 3
+    assert language_id.visible_text(b"a<b>c<!-- <p> --><SCRIPT x>d</script >e<style>f&amp;<g") == b"a c  e f&<g"
+
+
 # 7: repeated passages
 
 
@@ -371,14 +523,28 @@ def test_quality_counts_match_brute_force(spark, odd, empty):
 
 def test_divergence_rejects_junk_and_keeps_clean(spark):
     rng = random.Random(8)
-    clean = lambda: " ".join(rng.choice("the of and to in house river stone walked bright morning".split()) + rng.choice(["", ",", "."]) for _ in range(300))
-    rows = [(i, clean(), "en", "s") for i in range(40)] + [(100 + i, clean().upper().replace(" ", "### "), "en", "s") for i in range(3)]
+    clean = lambda: " ".join(rng.choice("the of and to in house river stone walked bright morning".split()) + rng.choice(["", "", "", "", ",", "."]) for _ in range(300))
+    rows = [(i, clean(), "en", "s") for i in range(90)] + [(100 + i, clean().upper().replace(" ", "### "), "en", "s") for i in range(3)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, at string")
     assert sorted(r.id for r in quality_rules.judge(df).collect() if not r.kept) == [100, 101, 102]
-    assert sorted(r.doc_id for r in quality_rules.kept_rows(df).collect()) == list(range(40))
+    assert sorted(r.doc_id for r in quality_rules.kept_rows(df).collect()) == list(range(90))
     assert quality_rules.kept_rows(df).columns == df.columns
 
 
+def test_languages_come_from_the_data(spark):
+    """Texts of a fifth language are kept, be they few (base rules alone) or many (a reference of their own)."""
+    rng = random.Random(12)
+    say = lambda vocab, n: " ".join(rng.choice(vocab.split()) for _ in range(n))
+    rows = [(i, say("the of and to in house river stone walked bright morning", 200), "en") for i in range(60)]
+    rows += [(1000 + i, say("ja on ei se että hän talo joki kivi aamu valo vesi", 200), "fi") for i in range(19)]
+    rows += [(2000 + i, say("ve bir bu da için ev nehir taş sabah ışık su gün", 200), "tr") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    out = {r.id: r for r in quality_rules.judge(df).collect()}
+    assert all(r.kept for r in out.values())
+    assert out[1000].distance is None
+    assert out[2000].lang_found == "tr"
+
+
 # 9: packing
 
 TOKENS = public_tokenizers.path("word_bpe_49k.json")
@@ -451,18 +617,3 @@ def test_rare_words_meet_their_counts_in_a_join(spark, monkeypatch):
         n, v = sum(c.values()), len(c)
         assert r.n_known == sum(c[x] > 0 for x in tokens[r.id])
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in tokens[r.id]))
-
-
-def test_bits_make_one_distribution():
-    tree = lm_scoring.Tree([5.0] * lm_scoring.LEAVES + [1.0] * lm_scoring.CLASSES + [2.0])
-    model = lm_scoring.Model(tree, {})
-    total = sum(10 ** model.log10(np.array([leaf]), np.zeros(1, np.uint64), np.zeros(1, np.int64))[0] for leaf in range(lm_scoring.LEAVES + lm_scoring.CLASSES + 1))
-    assert total == pytest.approx(1, abs=1e-4)
-
-
-def test_every_bit_moves_weights_and_refines():
-    tree = lm_scoring.Tree([5.0] * lm_scoring.LEAVES + [1.0] * lm_scoring.CLASSES + [2.0])
-    learner, rng = lm_scoring.Learner(tree), np.random.default_rng(1)
-    leaf = rng.integers(0, lm_scoring.LEAVES + lm_scoring.CLASSES, 1000)
-    learner.learn(leaf, leaf.astype(np.uint64), np.zeros(1, np.int64))
-    assert learner.used.sum() == learner.fine.sum() == tree.length[leaf].sum()
