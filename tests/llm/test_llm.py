@@ -545,6 +545,27 @@ def test_languages_come_from_the_data(spark):
     assert out[2000].lang_found == "tr"
 
 
+def test_languages_beyond_the_plan_count_alike(spark, monkeypatch):
+    """Languages that are joined give the results that they give within the plan, and junk in one is told by its own reference."""
+    rng = random.Random(14)
+    say = lambda tag, n: " ".join(f"{tag}{min(rng.randrange(40), rng.randrange(40))}" for _ in range(n))
+    rows = [(1000 * k + i, say(chr(97 + k) * 2, 120), f"l{k}") for k, n in enumerate((60, 50, 40, 30, 19)) for i in range(n)]
+    rows += [(9000, say("dd", 120).upper().replace(" ", "### "), "l3"), (9001, say("cc", 120), None), (9002, None, "l2"), (9003, "dd1 dd2", "l3")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3).cache()
+    every, kept = [], []
+    for most in (64, 2):
+        monkeypatch.setattr(quality_rules, "MAX_LANGUAGES", most)
+        every.append({r.id: r for r in quality_rules.judge(df).collect()})
+        kept.append({r.doc_id for r in quality_rules.kept_rows(df).collect()})
+    whole, joined = every
+    assert len(joined) == len(rows)
+    for i, r in joined.items():
+        assert r.asDict() | {"distance": 0} == whole[i].asDict() | {"distance": 0}
+        assert (r.distance or 0) == pytest.approx(whole[i].distance or 0, rel=1e-9)
+    assert kept[0] == kept[1] == {i for i, r in joined.items() if r.kept}
+    assert (joined[9000].kept, joined[9001].lang_found, joined[3000].lang_found, joined[4000].distance) == (False, "l2", "l3", None)
+
+
 # 9: packing
 
 TOKENS = public_tokenizers.path("word_bpe_49k.json")
