@@ -1,6 +1,8 @@
-"""Groups of similar texts: exact prefix filtering for candidates, exact Jaccard similarity for the decision.
+"""Groups of similar texts: SimHash and exact prefix filtering for candidates, exact Jaccard similarity for the decision.
 
 A text is the set of the 64-bit hashes of its shingles. Texts with equal sets are linked first, and only one of each goes on.
+Then come the components that SimHash fingerprints make (`simhash.near_duplicates`): each text is decided against the
+first one of its component. Fingerprints miss similar texts and join others, so prefix filtering finds every pair that is still apart:
 All shingles have one order: by how many texts have them, rare ones first. Sets of the similarity sought share a shingle among
 the first 1 - similarity of each (and one). Shingles that only one text has cannot be shared, so they count as part of
 that prefix but are filed nowhere: most texts have enough of them, and file nothing at all. What is filed is therefore little, and
@@ -26,8 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bytes_of, column, discard, store
-from .simhash import SEED, components
+from .common import NOT_GAP, arrow_map, bytes_of, column, discard, store
+from .simhash import SEED, components, near_duplicates
 from .substrings import WordHashes, rolling
 
 #: 64-bit words of parities, and words into which they are folded for a first look.
@@ -36,8 +38,8 @@ WORDS, FOLDED = 32, 8
 SAMPLE, LEAST, COMMON = 20_000, 8, 1_000_000
 #: Shingles that are sent at once, those that are counted at once, and texts in a chunk of them.
 SENT, COUNTED, CHUNK_TEXTS = 1 << 20, 1 << 21, 1 << 16
-#: Texts of a crowded place that meet in one block, and pairs that are compared at once.
-CROWD, CELLS = 4096, 1 << 20
+#: Texts of a crowded place that meet in one block; pairs that are looked at at once, and of those that are compared bit by bit (8 * WORDS bytes each, three times).
+CROWD, CELLS, COMPARED = 4096, 1 << 20, 1 << 16
 #: Against rounding, towards more candidates.
 SLACK = 1e-6
 #: Rows (8 or 16 bytes each), and bytes of shingle sets, that are broadcast at most; more are joined.
@@ -230,6 +232,42 @@ def _close(a: str, b: str, similarity: float) -> Column:
     return (most * (1 + similarity) + SLACK >= similarity * both) & (F.least(f("n", a), f("n", b)) + SLACK >= similarity * F.greatest(f("n", a), f("n", b)))
 
 
+def close_pairs(place: np.ndarray, row: np.ndarray, size: np.ndarray, label: np.ndarray, block: np.ndarray, blocks: np.ndarray, wide: np.ndarray, words: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of a block's texts, by their numbers there, that can be similar, and the bits in which they differ: some at a time, so memory grows with the texts only."""
+    folded = np.bitwise_xor.reduce(words.reshape(len(row), -1, FOLDED), axis=1)
+    step = max(1, CELLS // len(row))
+    for i in range(0, len(row), step):
+        some = slice(i, i + step)
+        x, y = np.nonzero((label[some, None] != label[None, i:]) & (place[some, None] == place[None, i:]))
+        x, y = x + i, y + i
+        here = (x < y) & (~(wide[x] & wide[y]) | ((row[x] + row[y]) % blocks[x] == block[x]))
+        x, y = x[here], y[here]
+        for at in range(0, len(x), COMPARED):
+            p, q = x[at : at + COMPARED], y[at : at + COMPARED]
+            for own in (folded, words):
+                most = (size[p] + size[q]) * (1 - similarity) / (1 + similarity) + SLACK
+                off = np.bitwise_count(own[p] ^ own[q]).sum(1, dtype=np.int64)
+                good = (off <= most) & (np.minimum(size[p], size[q]) + SLACK >= similarity * np.maximum(size[p], size[q]))
+                p, q, off = p[good], q[good], off[good]
+            yield p, q, off
+
+
+def closest(row: np.ndarray, wide: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each wide text its closest one in close_pairs(), the smaller row of equally close ones."""
+    least, best = np.full(len(row), 1 << 62), np.full(len(row), -1)
+    for p, q, off in pairs:
+        owner, other, off = np.concatenate((p, q)), np.concatenate((q, p)), np.concatenate((off, off))
+        mine = wide[owner]
+        owner, other, off = owner[mine], other[mine], off[mine]
+        order = np.lexsort((row[other], off, owner))
+        first = order[np.flatnonzero(np.append(True, np.diff(owner[order]) != 0))] if len(order) else order
+        owner, other, off = owner[first], other[first], off[first]
+        better = (off < least[owner]) | ((off == least[owner]) & (row[other] < row[best[owner]]))
+        least[owner[better]], best[owner[better]] = off[better], other[better]
+    owner = np.flatnonzero(best >= 0)
+    yield owner, best[owner]
+
+
 def groups(df: DataFrame, row_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(row, group) for the rows that are similar to another one: group is the smallest row of their group.
 
@@ -258,6 +296,7 @@ def groups(df: DataFrame, row_col: str, text_col: str, shingle: int = 5, similar
     same = store(sizes.join(same, ["d0", "d1"]).where("row != first").select(F.col("row").alias("a"), F.col("first").alias("b")), "similar-same")
     copies = same.select(F.col("a").alias("row"))
     own = rows.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "row", "left_anti")
+
     filed = filed_texts(own, shingle, similarity, common_shingles(own, n, shingle), total)
     spots = filed.select("row", "n", "lone", F.posexplode("places").alias("rank", "place"))
     spot = F.struct("row", "n", "lone", F.col("rank").cast("bigint").alias("rank")).alias("a")
@@ -289,15 +328,20 @@ def groups(df: DataFrame, row_col: str, text_col: str, shingle: int = 5, similar
         discard(sets)
         return links
 
-    def joined(pairs: DataFrame, links: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """links and labels(row, label) after deciding pairs(a, b, shared): each row's likeliest first, then those left apart."""
+    def apart_by(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """Those of pairs(a, b) that the links so far do not connect."""
+        label = lambda name: labels.select(F.col("row").alias(name), F.col("label").alias(f"{name}_label"))
+        named = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
+        return named.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select(*pairs.columns)
+
+    def joined(pairs: DataFrame, links: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """links and labels(row, label) after deciding pairs(a, b, shared) that the labels before leave apart: each row's likeliest first, then those still apart."""
+        pairs = store(apart_by(pairs, before), "similar-apart")
         best = store(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")), "similar-best")
         links = links.unionByName(similar(best))
         labels = labelled(links)
-        label = lambda name: labels.select(F.col("row").alias(name), F.col("label").alias(f"{name}_label"))
-        rest = pairs.join(best, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
-        rest = store(rest.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b"), "similar-rest")
-        discard(best)
+        rest = store(apart_by(pairs.join(best, ["a", "b"], "left_anti"), labels).select("a", "b"), "similar-rest")
+        discard(best, before, pairs)
         if not rest.isEmpty():
             links = links.unionByName(similar(rest))
             discard(labels)
@@ -308,10 +352,15 @@ def groups(df: DataFrame, row_col: str, text_col: str, shingle: int = 5, similar
     def labelled(links: DataFrame) -> DataFrame:
         return store(components(links).select(F.col("node").alias("row"), F.col("root").alias("label")), "similar-labels")
 
+    # Texts that the fingerprints join are decided first; what the sets do not confirm, and what fingerprints miss, is left to the places.
+    marked = near_duplicates(own.where(F.col("text").cast("string").rlike(NOT_GAP)), "row", "text", shingle)
+    near = store(marked.where("id != component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b")), "similar-near")
+    links = similar(near)
+    labels = labelled(links)
     firsts = spots.groupBy("place").agg(F.min(spot).alias("b"), F.count("*").alias("k")).where("k > 1").select("place", "b")
     met = spots.select("place", spot).join(firsts, "place").where(F.col("a.row") != F.col("b.row")).where(_close("a", "b", similarity))
     star = store(met.select(F.col("a.row").alias("a"), F.col("b.row").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared")), "similar-star")
-    links, labels = joined(star, spark.createDataFrame([], "a bigint, b bigint"), None)
+    links, labels = joined(star, links, labels)
 
     # Places that still hold several groups: the largest is dealt to blocks, and the others' texts go to each block.
     member = lambda: spots.select("place", "row", "n").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
@@ -335,33 +384,10 @@ def groups(df: DataFrame, row_col: str, text_col: str, shingle: int = 5, similar
             for group in whole_keys(batches, ("key", "place", "row", "n", "label", "block", "blocks", "wide", "mark")):
                 _, place, row, size, label, block, blocks, wide = (g.to_numpy(zero_copy_only=False) for g in group[:-1])
                 words = _joined(group[-1].to_pylist(), "<u8").reshape(-1, WORDS)
-                folded = np.bitwise_xor.reduce(words.reshape(len(row), -1, FOLDED), axis=1)
-                found: list[np.ndarray] = []
-                step = max(1, CELLS // len(row))
-                for i in range(0, len(row), step):
-                    some = slice(i, i + step)
-                    x, y = np.nonzero((label[some, None] != label[None, i:]) & (place[some, None] == place[None, i:]))
-                    x, y = x + i, y + i
-                    here = (x < y) & (~(wide[x] & wide[y]) | ((row[x] + row[y]) % blocks[x] == block[x]))
-                    x, y = x[here], y[here]
-                    for at in range(0, len(x), CELLS):
-                        p, q = x[at : at + CELLS], y[at : at + CELLS]
-                        for own in (folded, words):
-                            most = (size[p] + size[q]) * (1 - similarity) / (1 + similarity) + SLACK
-                            off = np.bitwise_count(own[p] ^ own[q]).sum(1, dtype=np.int64)
-                            good = (off <= most) & (np.minimum(size[p], size[q]) + SLACK >= similarity * np.maximum(size[p], size[q]))
-                            p, q, off = p[good], q[good], off[good]
-                        found.append(np.stack((p, q, off), 1))
-                p, q, off = np.concatenate(found).T if found else np.zeros((3, 0), np.int64)
-                if best_only:
-                    owner, other, off = np.concatenate((p, q)), np.concatenate((q, p)), np.concatenate((off, off))
-                    owner, other, off = owner[wide[owner]], other[wide[owner]], off[wide[owner]]
-                    order = np.lexsort((row[other], off, owner))
-                    first = order[np.flatnonzero(np.append(True, np.diff(owner[order]) != 0))] if len(order) else order
-                    p, q = owner[first], other[first]
-                if len(p):
-                    pairs = np.unique(np.stack((np.maximum(row[p], row[q]), np.minimum(row[p], row[q])), 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                found = close_pairs(place, row, size, label, block, blocks, wide, words, similarity)
+                for p, q in closest(row, wide, found) if best_only else ((p, q) for p, q, _ in found):
+                    if len(p):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(row[p], row[q])), pa.array(np.minimum(row[p], row[q]))], ["a", "b"])
 
         return run
 
@@ -383,7 +409,7 @@ def groups(df: DataFrame, row_col: str, text_col: str, shingle: int = 5, similar
         links, labels = joined(pairs, links, labels)
         discard(mixed, apart, asked, pairs)
     every = store(links.unionByName(same), "similar-all")
-    discard(sizes, filed, star, labels, same)
+    discard(sizes, filed, near, star, labels, same)
     return components(every).select(F.col("node").alias("row"), F.col("root").alias("group"))
 
 

@@ -1,11 +1,12 @@
 """Groups of similar texts against brute force, on one and on many partitions."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from strandline.llm import similar
+from strandline.llm import similar, simhash
 
 
 def exact_groups(rows):
@@ -100,3 +101,35 @@ def test_parities_never_exceed_the_difference():
         a, b = (np.unique(rng.integers(0, 400, 200).astype(np.uint64)) for _ in "ab")
         bits = int(np.bitwise_count(similar.parities(a).view(np.uint64) ^ similar.parities(b).view(np.uint64)).sum())
         assert bits <= len(np.setxor1d(a, b))
+
+
+def test_fingerprints_give_the_first_candidates(spark, monkeypatch):
+    """Near copies that the fingerprints join are linked without a place where they meet; what fingerprints join wrongly is not linked."""
+    rng = random.Random(5)
+    base = [[f"w{k}-{i}" for i in range(600)] for k in range(3)]
+    rows = [(10 * k + j, " ".join(w if not j else changed(rng, w, 1))) for k, w in enumerate(base) for j in range(3)] + [(90, ""), (91, None), (92, " ")]
+    df = spark.createDataFrame(rows, "row bigint, text string")
+    want = {r.id: r.component_id for r in simhash.near_duplicates(df.where("row < 90"), "row", "text", 5).collect()}
+    assert len(set(want.values())) < len(want)
+    monkeypatch.setattr(similar, "filed_texts", lambda *a: similar.store(spark.createDataFrame([], "row bigint, n bigint, lone bigint, places array<bigint>"), "similar-filed"))
+    got = {r.row: r.group for r in similar.groups(df, "row", "text").collect()}
+    assert got == {i: c for i, c in want.items() if list(want.values()).count(c) > 1}
+    monkeypatch.setattr(similar, "near_duplicates", lambda df, *a: df.select(similar.F.col("row").alias("id"), similar.F.lit(0).cast("bigint").alias("component_id")))
+    got = {r.row: r.group for r in similar.groups(df, "row", "text").collect()}
+    assert got == {0: 0, 1: 0, 2: 0}
+
+
+def test_pairs_of_a_crowd_take_little_memory():
+    """All pairs of 1,500 equal texts of different groups, of which each one's closest is the first other one."""
+    n = 1500
+    zeros, row = np.zeros(n, np.int64), np.arange(n)[::-1].copy()
+    words = np.tile(np.arange(similar.WORDS, dtype=np.uint64), (n, 1))
+    wide = np.ones(n, bool)
+    tracemalloc.start()
+    pairs = similar.close_pairs(zeros, row, zeros + 100, row, zeros, zeros + 1, wide, words, 0.8)
+    (owner, other), = similar.closest(row, wide, pairs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 128 << 20
+    assert sorted(zip(row[owner].tolist(), row[other].tolist(), strict=True)) == [(0, 1), *((k, 0) for k in range(1, n))]
+    assert sum(len(p) for p, _, _ in similar.close_pairs(zeros, row, zeros + 100, row, zeros, zeros + 1, wide, words, 0.8)) == n * (n - 1) // 2
